@@ -234,3 +234,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         return kept.select(*docs.columns)
     once = small_join(kept, again, ["__gone"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__gone").orderBy(text)))
     return small_join(kept, again, ["__gone"], "left_anti").select(*docs.columns).union(once.where("__n = 1").select(*docs.columns))
+
+
+def op4(spark, sf_dir: str) -> DataFrame:
+    from .common import table
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
