@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from .decontaminate import op10
 from .language_id import op1
+from .line_dedup import OP5_SQL, op5
 from .mixing import OP7_SQL, op7
 from .near_dup import op4
+from .packing import op9
+from .secrets import OP3_SQL, op3
 from .sharding import op6, op6_sql
 
 
 def queries() -> dict:
     return {
         "op1_language_id": op1,
+        "op3_secret_scan": op3,
         "op4_simhash_near_dedup": op4,
+        "op5_line_dedup": op5,
         "op6_sharding": op6,
         "op7_source_mixing": op7,
+        "op9_packing": op9,
         "op10_benchmark_decontamination": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": op6_sql(), "op7_source_mixing": OP7_SQL}
+    return {"op3_secret_scan": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_sharding": op6_sql(), "op7_source_mixing": OP7_SQL}
