@@ -8,6 +8,7 @@ from .line_dedup import OP5_SQL, op5
 from .mixing import OP7_SQL, op7
 from .near_dup import op4
 from .packing import op9
+from .perplexity import op2
 from .secrets import OP3_SQL, op3
 from .sharding import op6, op6_sql
 
@@ -15,6 +16,7 @@ from .sharding import op6, op6_sql
 def queries() -> dict:
     return {
         "op1_language_id": op1,
+        "op2_perplexity": op2,
         "op3_secret_scan": op3,
         "op4_simhash_near_dedup": op4,
         "op5_line_dedup": op5,
