@@ -11,6 +11,7 @@ from .packing import op9
 from .perplexity import op2
 from .secrets import OP3_SQL, op3
 from .sharding import op6, op6_sql
+from .style_tree import op8
 
 
 def queries() -> dict:
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_line_dedup": op5,
         "op6_sharding": op6,
         "op7_source_mixing": op7,
+        "op8_style_tree": op8,
         "op9_packing": op9,
         "op10_benchmark_decontamination": op10,
     }
