@@ -61,7 +61,9 @@ def blend(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, alpha: float,
     return keyed.select(*KEY, F.col("top.chunk_idx").alias("chunk_idx"), s.alias("s"), "den_rank", "lex_rank")
 
 
-_ALL = Window.partitionBy(F.lit(0))
+def _all():
+    """One window over all candidates."""
+    return Window.partitionBy(F.lit(0))
 
 
 def _tie(*more: Column | str) -> list:
@@ -71,8 +73,8 @@ def _tie(*more: Column | str) -> list:
 def coherence(c: DataFrame) -> DataFrame:
     """The best chunk of each file gains 0.2 of the best score by its file's share of the best file's sum."""
     file = Window.partitionBy("file_path")
-    x = c.withColumns({"top": F.max("s").over(_ALL), "sum": F.sum("s").over(file), "n": F.row_number().over(file.orderBy(F.desc("s"), *_tie()))})
-    x = x.withColumn("most", F.max("sum").over(_ALL))
+    x = c.withColumns({"top": F.max("s").over(_all()), "sum": F.sum("s").over(file), "n": F.row_number().over(file.orderBy(F.desc("s"), *_tie()))})
+    x = x.withColumn("most", F.max("sum").over(_all()))
     gain = F.when((F.col("n") == 1) & (F.col("most") > 0), 0.2 * F.col("top") * F.col("sum") / F.col("most")).otherwise(F.lit(0.0))
     return x.withColumn("s", F.col("s") + gain).select(*c.columns)
 
@@ -87,22 +89,25 @@ def tier(content: Column, path: Column, names: list[str]) -> Column:
 
 
 def _define_boost(c: DataFrame, chunks: DataFrame, names: list[str], unit: float, near: Column) -> DataFrame:
-    """Candidates gain their tier; other chunks of files that ``near`` (over ``stem``) accepts enter with it."""
+    """Candidates gain their tier; other chunks of files that ``near`` (over ``stem``) accepts enter with it.
+
+    Candidates and defining chunks are put together and told apart by a window over the key, so that the plan has the
+    candidates once.
+    """
     text = chunks.select("chunk_idx", F.col("content").alias("__text"))
-    own = c.join(text, "chunk_idx").withColumn("s", F.col("s") + F.lit(unit) * F.col("top") * tier(F.col("__text"), F.col("file_path"), names)).drop("__text")
-    top = c.agg(F.max("top").alias("top"))
-    others = chunks.withColumn("stem", F.lower(T.path_stem(F.col("file_path")))).where(near).where(T.defines(F.col("content"), names))
-    others = others.join(F.broadcast(c.select(*KEY)), KEY, "left_anti").crossJoin(F.broadcast(top))
-    gain = F.lit(unit) * F.col("top") * tier(F.col("content"), F.col("file_path"), names)
-    fresh = others.select(*KEY, "chunk_idx", gain.alias("s"), F.lit(1 << 30).alias("den_rank"), F.lit(1 << 30).alias("lex_rank"), "top", F.lit(1).alias("promoted"))
-    first = Window.partitionBy(*KEY).orderBy("chunk_idx")
-    fresh = fresh.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").where("s > 0")
-    return own.unionByName(fresh)
+    own = text.join(F.broadcast(c), "chunk_idx").withColumn("tier", tier(F.col("__text"), F.col("file_path"), names)).drop("__text")
+    stemmed = chunks.withColumn("stem", F.lower(T.path_stem(F.col("file_path")))).where(near)
+    found = stemmed.select(*KEY, "chunk_idx", tier(F.col("content"), F.col("file_path"), names).alias("tier")).where("tier > 0")
+    last = F.lit(1 << 30)
+    fresh = found.select(*KEY, "chunk_idx", F.lit(0.0).alias("s"), last.alias("den_rank"), last.alias("lex_rank"), F.lit(None).cast("double").alias("top"), F.lit(1).alias("promoted"), "tier")
+    key = Window.partitionBy(*KEY)
+    both = own.unionByName(fresh).withColumns({"top": F.max("top").over(_all()), "n": F.row_number().over(key.orderBy("promoted", "chunk_idx"))})
+    return both.where("n = 1").withColumn("s", F.col("s") + F.lit(unit) * F.col("top") * F.col("tier")).where("promoted = 0 or s > 0").select(*c.columns)
 
 
 def query_boost(c: DataFrame, chunks: DataFrame, query: str | None) -> DataFrame:
     """Definition, path and embedded-symbol boosts for a query that the driver knows."""
-    c = c.withColumns({"top": F.max("s").over(_ALL), "promoted": F.lit(0)})
+    c = c.withColumns({"top": F.max("s").over(_all()), "promoted": F.lit(0)})
     if not query or not query.strip():
         return c
     q = query.strip()
@@ -114,8 +119,8 @@ def query_boost(c: DataFrame, chunks: DataFrame, query: str | None) -> DataFrame
     keep = sorted({w for w in words if w not in T.STOPWORDS})
     if keep:
         arr = F.array(*(F.lit(w) for w in keep))
-        parts = c.select("file_path").distinct().withColumn("ratio", T.keyword_matches(arr, T.path_parts(F.col("file_path"))) / float(len(keep)))
-        c = c.join(parts, "file_path").withColumn("s", F.col("s") + F.when(F.col("ratio") >= 0.1, F.col("top") * F.col("ratio")).otherwise(F.lit(0.0))).drop("ratio")
+        ratio = T.keyword_matches(arr, T.path_parts(F.col("file_path"))) / float(len(keep))
+        c = c.withColumn("s", F.col("s") + F.when(ratio >= 0.1, F.col("top") * ratio).otherwise(F.lit(0.0)))
     symbols = sorted(set(re.findall(T.EMBEDDED, query)))
     if symbols:
         near = T.embedded_stem_matches(F.col("stem"), F.array(*(F.lit(s) for s in sorted({s.lower() for s in symbols}))))
@@ -145,6 +150,6 @@ def fuse(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, options: Fusio
         c = c.withColumn("score", F.round("s", PLACES))
         order = [F.desc("score"), *_tie()]
     best = c.orderBy(*order).limit(options.top_k)
-    best = best.withColumn("rank", F.row_number().over(_ALL.orderBy(*order))).select("rank", "chunk_idx", "score")
+    best = best.withColumn("rank", F.row_number().over(_all().orderBy(*order))).select("rank", "chunk_idx", "score")
     rest = chunks.select("chunk_idx", "file_path", "start_line", "end_line", "content")
     return rest.join(F.broadcast(best), "chunk_idx").select("rank", "chunk_idx", "file_path", "start_line", "end_line", "score", "content").orderBy("rank")
