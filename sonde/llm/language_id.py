@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 #: Bytes of a window: the recurrence begins anew in each, in training and in use.
 WINDOW = 128
@@ -209,8 +209,10 @@ def fit(docs: DataFrame, per_lang: int = 300, doc_id: str = "doc_id", text: str
     return train(sample, **how) if sample else None
 
 
-def _score(docs: DataFrame, net: Network | None, text: str) -> DataFrame:
+def _score(docs: DataFrame, net: Network | None, text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with the language and its probability, and the names of the two columns."""
     at = docs.columns.index(text)
+    found, prob_name = free(docs, "found_lang"), free(docs, "found_prob")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +224,11 @@ def _score(docs: DataFrame, net: Network | None, text: str) -> DataFrame:
                 p = shared.value.documents(texts)
                 prob = p.max(1, initial=0)
                 best = [shared.value.langs[k] if q > 0 else None for k, q in zip(p.argmax(1), prob, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(prob, pa.float64())], [*b.schema.names, "__lang", "__prob"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(prob, pa.float64())], [*b.schema.names, found, prob_name])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__prob", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(found, T.StringType()), T.StructField(prob_name, T.DoubleType())])), found, prob_name
 
 
 def identify(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
@@ -239,15 +241,15 @@ def identify(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id"
     """
     net = net if net is not None else fit(docs, doc_id=doc_id, text=text, lang=lang)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scored = _score(rows, net, "text")
-    return scored.select("doc_id", F.col("__lang").alias("lang"), F.round("__prob", 6).alias("lang_prob"), (F.col("__prob") >= least).alias("keep"))
+    scored, found, prob = _score(rows, net, "text")
+    return scored.select("doc_id", F.col(found).alias("lang"), F.round(prob, 6).alias("lang_prob"), (F.col(prob) >= least).alias("keep"))
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
     """``docs`` without the rows that :func:`identify` rejects, the found language in ``lang``; the columns stay."""
     net = fit(docs, doc_id=doc_id, text=text, lang=lang)
-    scored = _score(docs, net, text).where(F.col("__prob") >= least)
-    return scored.select(*(F.col("__lang").alias(lang) if c == lang else F.col(c) for c in docs.columns))
+    scored, found, prob = _score(docs, net, text)
+    return scored.where(F.col(prob) >= least).select(*(F.col(found).alias(lang) if c == lang else F.col(c) for c in docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

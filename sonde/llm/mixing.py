@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_join, table
+from .common import cut, free, small_join, table
 
 #: A token is a run of anything but blanks, tabs and line ends.
 TOKEN = "[^ \\t\\n\\r]+"
@@ -64,12 +64,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
 
 def keep_mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The rows of ``docs`` in selected blocks; the columns stay."""
-    chosen = mix_sources(docs, doc_id=doc_id, source=source, **how).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).distinct()
-    keyed = docs.withColumns({"__s": F.coalesce(F.col(source).cast("string"), F.lit(""))})
-    chosen = cut(chosen)
-    count = chosen.count()
-    on = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__source"))
-    return keyed.join(F.broadcast(chosen) if count <= 1_000_000 else chosen, on, "left_semi").select(*docs.columns)
+    a, b, s = free(docs, "mix_id"), free(docs, "mix_source"), free(docs, "own_source")
+    chosen = cut(mix_sources(docs, doc_id=doc_id, source=source, **how).select(F.col("doc_id").alias(a), F.col("source").alias(b)).distinct())
+    keyed = docs.withColumn(s, F.coalesce(F.col(source).cast("string"), F.lit("")))
+    on = F.col(doc_id).eqNullSafe(F.col(a)) & (F.col(s) == F.col(b))
+    return keyed.join(F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen, on, "left_semi").select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

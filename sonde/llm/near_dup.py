@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, words
+from .common import chunks, cut, free, mix, words
 
 BITS = 256
 LANES = BITS // 64
@@ -18,7 +18,7 @@ FP = [f"f{i}" for i in range(LANES)]
 
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) uint64 SimHash of each text's distinct words and distinct word pairs, and which texts have any word."""
+    """(n, 4) uint64 SimHash of each text's distinct words, and which texts have any word."""
     out, has = np.zeros((len(texts), LANES), np.uint64), np.zeros(len(texts), bool)
     for lo, hi in chunks(texts):
         code, _, _, bounds, _ = words(texts[lo:hi])
@@ -225,15 +225,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that share a non-null id are one document: one of them stays, the least by text. Rows of a null id stay.
     """
-    gone = cut(near_duplicates(docs, doc_id, text, **how).select(F.col("doc_id").alias("__gone")))
-    key = F.col(doc_id).cast("long")
-    kept = docs.withColumn("__gone", key)
-    kept = small_join(kept, gone, ["__gone"], "left_anti")
-    again = cut(docs.groupBy(key.alias("__gone")).count().where("count > 1 and __gone is not null").select("__gone"))
+    key, name, n = F.col(doc_id).cast("long"), free(docs, "gone_id"), free(docs, "nth")
+    gone = cut(near_duplicates(docs, doc_id, text, **how).select(F.col("doc_id").alias(name)))
+    kept = small_join(docs.withColumn(name, key), gone, [name], "left_anti")
+    again = cut(docs.groupBy(key.alias(name)).agg(F.count("*").alias(n)).where(F.col(n) > 1).where(F.col(name).isNotNull()).select(name))
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once = small_join(kept, again, ["__gone"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__gone").orderBy(text)))
-    return small_join(kept, again, ["__gone"], "left_anti").select(*docs.columns).union(once.where("__n = 1").select(*docs.columns))
+    once = small_join(kept, again, [name], "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(name).orderBy(text)))
+    return small_join(kept, again, [name], "left_anti").select(*docs.columns).union(once.where(F.col(n) == 1).select(*docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -235,14 +235,14 @@ def perplexity_filter(docs: DataFrame, width: float = 9.0, short: float = 400.0,
     text of n symbols, as short texts scatter more; lower and upper are a document's bounds as perplexities, and keep is false outside of
     them. Medians are taken over all documents, to 0.1 % of rank.
 
-    A null language is the language ''. A null, empty or blank-only text of no symbol has a null perplexity and keep false.
+    A null language is the language ''. A null or empty text has no symbol, a null perplexity and keep false; a blank one has one symbol.
     Equal texts get equal scores and repeated rows count as often as they occur; other columns are ignored. An empty table gives no rows.
     """
     scored = cut(score(docs, fit(docs, text, lang), doc_id, text, lang))
     middle = scored.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"))
     spread = small_join(scored, middle, ["lang"], "inner").groupBy("lang").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 1000).alias("mad"))
     x = small_join(scored, spread, ["lang"], "left")
-    half = width * 1.4826 * F.greatest(F.col("mad"), F.lit(0.005)) * F.sqrt(1 + short / F.col("n"))
+    half = width * 1.4826 * F.greatest(F.col("mad"), F.lit(0.005)) * F.sqrt(1 + short / F.greatest(F.col("n"), F.lit(1)))
     x = x.withColumn("half", half)
     inside = F.coalesce(F.abs(F.col("log_ppl") - F.col("mid")) <= F.col("half"), F.lit(False))
     return x.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp("log_ppl").alias("perplexity"), F.exp(F.col("mid") - F.col("half")).alias("lower"), F.exp(F.col("mid") + F.col("half")).alias("upper"), inside.alias("keep"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_join, table
+from .common import free, small_join, table
 
 #: Bits of the hash, and the depths at which bucket sizes are counted; a deeper count only covers what is oversized.
 DEPTH = 32
@@ -45,10 +45,10 @@ def directory(sizes, limit: int) -> list[tuple[int, int, int, int]]:
     return sorted(leaves, key=lambda x: x[1] << (DEPTH - x[0]))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, doc_id: str, text: str, h: str, size: str) -> DataFrame:
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("#"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    h = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
-    return docs.withColumns({"__h": h, "__bytes": F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")})
+    bits = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+    return docs.withColumns({h: bits, size: F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")})
 
 
 def shard(docs: DataFrame, limit: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,36 +60,35 @@ def shard(docs: DataFrame, limit: int = 64 << 20, doc_id: str = "doc_id", text:
     left empty by a split too. Bucket sizes are aggregated in Spark; what the driver gathers is 65,536 counts, and more only
     below oversized prefixes, in proportion to the number of shards.
 
-    Null and empty texts have 0 bytes. Rows of a null id are hashed by their text. Other columns stay. An empty table
+    Null and empty texts have 0 bytes. Rows of a null id are hashed by their text. Other columns stay, but for older ones of the three names. An empty table
     gives no rows.
     """
     spark = docs.sparkSession
-    rows = _keyed(docs, doc_id, text)
-
-    def prefixes(bits: list[int]) -> DataFrame:
-        return spark.createDataFrame([(p,) for p in bits], "p0 long")
+    own = [c for c in docs.columns if c.lower() not in ("shard_id", "shard_depth", "n_bytes")]
+    h, size, p = free(docs, "hash_bits"), free(docs, "text_bytes"), free(docs, "prefix")
+    rows = _keyed(docs, doc_id, text, h, size)
 
     def sizes(level: int, under: list[int] | None) -> dict[int, tuple[int, int]]:
-        part = rows.select("__h", "__bytes")
+        part = rows.select(F.col(h).alias("h"), F.col(size).alias("size"))
         if under is not None:
-            part = small_join(part.withColumn("p0", F.shiftright("__h", DEPTH - LEVELS[level - 1])), prefixes(under), ["p0"], "left_semi")
-        counts = part.groupBy(F.shiftright("__h", DEPTH - LEVELS[level]).alias("p")).agg(F.sum("__bytes"), F.count("*"))
+            prefixes = spark.createDataFrame([(x,) for x in under], "p0 long")
+            part = small_join(part.withColumn("p0", F.shiftright("h", DEPTH - LEVELS[level - 1])), prefixes, ["p0"], "left_semi")
+        counts = part.groupBy(F.shiftright("h", DEPTH - LEVELS[level]).alias("p")).agg(F.sum("size"), F.count("*"))
         return {r[0]: (r[1], r[2]) for r in counts.collect()}
 
     leaves = directory(sizes, limit)
     found = F.lit(None).cast("struct<shard_id:int,shard_depth:int>")
     for level, deep in enumerate(LEVELS):
         start = LEVELS[level - 1] if level else -1
-        entries = [(p << (deep - d), (p + 1) << (deep - d), i, d) for i, (d, p, _, _) in enumerate(leaves) if start < d <= deep]
+        entries = [(x << (deep - d), (x + 1) << (deep - d), i, d) for i, (d, x, _, _) in enumerate(leaves) if start < d <= deep]
         if not entries:
             continue
+        at = free(docs, f"at{level}")
         part = spark.createDataFrame(entries, "lo long, hi long, shard_id int, shard_depth int")
-        part = part.select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("__p"), F.struct("shard_id", "shard_depth").alias(f"__at{level}"))
-        rows = small_join(rows.withColumn("__p", F.shiftright("__h", DEPTH - deep)), part, ["__p"], "left")
-        found = F.coalesce(found, F.col(f"__at{level}"))
-    clash = [c for c in docs.columns if c in ("shard_id", "shard_depth", "n_bytes")]
-    own = [c for c in docs.columns if c not in clash]
-    return rows.withColumn("__at", found).select(*own, F.col("__at.shard_id").alias("shard_id"), F.col("__at.shard_depth").alias("shard_depth"), F.col("__bytes").alias("n_bytes"))
+        part = part.select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias(p), F.struct("shard_id", "shard_depth").alias(at))
+        rows = small_join(rows.withColumn(p, F.shiftright(h, DEPTH - deep)), part, [p], "left")
+        found = F.coalesce(found, F.col(at))
+    return rows.select(*own, found["shard_id"].alias("shard_id"), found["shard_depth"].alias("shard_depth"), F.col(size).alias("n_bytes"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
