@@ -52,7 +52,8 @@ def split_identifier(c: Column) -> Column:
     snake = _nonempty(F.split(F.lower(c), "_"))
     camel = F.transform(F.regexp_extract_all(c, F.lit(_CAMEL), F.lit(0)), F.lower)
     parts = F.when(F.contains(c, F.lit("_")), snake).otherwise(camel)
-    return F.when(F.size(parts) >= 2, F.concat(F.array(F.lower(c)), parts)).otherwise(F.array(F.lower(c)))
+    plain = F.rlike(c, F.lit("^(?:[A-Z]?[a-z]+|[A-Z]+)\\z"))  # most words: nothing to split, and ``when`` stops here
+    return F.when(plain, F.array(F.lower(c))).when(F.size(parts) >= 2, F.concat(F.array(F.lower(c)), parts)).otherwise(F.array(F.lower(c)))
 
 
 def tokenize(c: Column) -> Column:

@@ -37,13 +37,19 @@ def token_table(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_idx", T.tokenize(T.enrich(F.col("content"), F.col("file_path"))).alias("tokens"))
 
 
-def build(tokens: DataFrame, k1: float = 1.5, b: float = 0.75) -> Bm25:
-    """Statistics (A1-A3) of (chunk_idx, tokens): one shuffle of partial counts by (chunk, term), one by term."""
-    sized = tokens.select("chunk_idx", "tokens", F.size("tokens").cast("long").alias("doc_len"))
-    each = sized.select("chunk_idx", "doc_len", F.explode("tokens").alias("term"))
+def build(tokens: DataFrame, k1: float = 1.5, b: float = 0.75, keep: bool = False) -> Bm25:
+    """Statistics (A1-A3) of (chunk_idx, tokens): one shuffle of partial counts by (chunk, term), one by term.
+
+    With ``keep`` the postings are cached, as term and corpus statistics and every query read them.
+    """
+    each = tokens.select("chunk_idx", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
     postings = each.groupBy("chunk_idx", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    if keep:
+        postings = postings.persist()
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = sized.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    corpus = tokens.agg(F.count("*").alias("n_docs")).crossJoin(total)
+    corpus = corpus.select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).otherwise(F.lit(0.0)).alias("avg_len"))
     return Bm25(postings, terms, corpus, k1, b)
 
 

@@ -130,7 +130,7 @@ def s_terms(text: str) -> str:
 
 def _lexical(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, bm25.Bm25]:
     chunks = corpus(spark, sf_dir)
-    return chunks, bm25.build(bm25.token_table(chunks), **how)
+    return chunks, bm25.build(bm25.token_table(chunks), keep=True, **how)
 
 
 # --- text functions -----------------------------------------------------------------------------------------------------
