@@ -21,7 +21,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr b bdi bdo cite code del em font i img ins kbd label mark q s samp small span strong sub sup tt u var wbr".split())
 #: Elements that a start tag of the key ends, where they are open within the nearest block.
 _CLOSES = {"p": {"p"}, "li": {"p", "li"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}} | {k: {"p"} for k in "article aside blockquote div footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
-_TOPS = frozenset(("#", "html", "head", "body"))
+#: Elements that only go with what holds them: the page itself, and parts of a line of text.
+_KEPT = _INLINE | {"#", "html", "head", "body"}
 _BLANK = re.compile(r"\s+")
 
 
@@ -58,7 +59,7 @@ def parse(page: str | None) -> Node:
         ends = _CLOSES.get(tag)
         while ends and len(stack) > 1 and (stack[-1].tag in ends or (stack[-1].tag in _INLINE and len(stack) > 2 and any(n.tag in ends for n in stack[-4:]))):
             stack.pop()
-        node = Node(tag, tag + "".join(f".{next(x for x in y if x or x is y[-1])}" for y in _LOOK.findall(m[4])) if m[4] else tag)
+        node = Node(tag, tag + "".join(f".{''.join(y)}" for y in _LOOK.findall(m[4])) if m[4] else tag)
         stack[-1].children.append(node)
         if tag not in _VOID and not m[4].endswith("/") and len(stack) < 200:
             stack.append(node)
@@ -211,7 +212,7 @@ def render(root: Node, host: str, drop: set[int]) -> tuple[str, int]:
         if e is None:
             line.append(node) if isinstance(node, str) else end()
             continue
-        if e in drop and node.tag not in _TOPS:
+        if e in drop and node.tag not in _KEPT:
             removed += _has_text(node)
             continue
         style = _key(e, *(c.look if isinstance(c, Node) else "#text" for c in node.children))
@@ -236,7 +237,8 @@ def extract(pages: DataFrame, threshold: float = 0.4, gamma: float = 0.9, least_
     child looks), blended by ``gamma`` to the number of styles with the mean importance of what hangs below. The content of a
     node counts 1 less the mean entropy of its texts over the pages, so a text that all pages share counts 0 and one of
     a single page counts 1. Branches whose top is below ``threshold`` go; nodes of one page, and hosts of fewer than
-    ``least_pages`` pages, stay whole; html, head and body are never tops. Titles, being in head, are content too.
+    ``least_pages`` pages, stay whole; html, head, body and inline elements
+    (links, bold text and so on) only go with the block that holds them. Titles, being in head, are content too.
 
     Text is put out a line for each block. A null host is the host ''. Null and empty pages give '' and take part as empty
     pages. Broken HTML is read as far as it goes. Repeated rows are pages of their own, and copies make their own content
