@@ -79,10 +79,12 @@ def chunk_tree(spark: SparkSession, root: str, provider=None, store: ChunkStore
 
 
 def number(chunks: DataFrame) -> DataFrame:
-    """``chunk_idx`` in the order of (file_path, start_byte), by offsets of range partitions: no single task sorts everything."""
-    parts = chunks.repartitionByRange("file_path", "start_byte").sortWithinPartitions("file_path", "start_byte")
-    tagged = parts.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id") % (1 << 33))
-    counts = tagged.groupBy("__p").count()
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__o"))
-    return tagged.join(F.broadcast(offsets), "__p").withColumn("chunk_idx", F.col("__i") + F.col("__o")).drop("__id", "__p", "__i", "__o")
+    """``chunk_idx`` in the order of (file_path, start_byte): the place within the file, after all chunks of earlier files.
+
+    Only (path, count) of each file goes through one task; chunks are numbered file by file.
+    """
+    counts = chunks.groupBy("file_path").count()
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file_path", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__o"))
+    nth = F.row_number().over(Window.partitionBy("file_path").orderBy("start_byte", "end_byte")) - 1
+    return chunks.withColumn("__n", nth).join(offsets, "file_path").withColumn("chunk_idx", F.col("__n") + F.col("__o")).drop("__n", "__o")

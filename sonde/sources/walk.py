@@ -80,4 +80,4 @@ def read_sources(files: DataFrame) -> DataFrame:
                     why.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string()), pa.array(why, pa.string())], [*b.schema.names, "source", "error"])
 
-    return files.mapInArrow(run, "path string, file_path string, language string, mtime_ms long, size long, source string, error string")
+    return files.select("path", "file_path", "language", "mtime_ms", "size").mapInArrow(run, "path string, file_path string, language string, mtime_ms long, size long, source string, error string")
