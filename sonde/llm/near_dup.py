@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, free, mix, words
+from .common import chunks, cut, free, mix, small_join, words
 
 BITS = 256
 LANES = BITS // 64
