@@ -24,7 +24,7 @@ class ChunkStore:
 
     def read(self) -> DataFrame:
         try:
-            rows = self.spark.read.schema(SCHEMA + ", generation string").option("recursiveFileLookup", "false").parquet(self.folder)
+            rows = self.spark.read.schema(SCHEMA + ", generation string").option("ignoreCorruptFiles", "true").parquet(self.folder)
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMA)
         n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime_ms"), F.desc("generation")))

@@ -127,6 +127,8 @@ def test_store_and_index(spark, tmp_path):
     tree(root, {"theme.py": "def color():\n    return 'blue'\n"})
     os.utime(os.path.join(root, "theme.py"), (1, 2_000_000_000))
     assert {r.file_path for r in store.split(W.listing(spark, root))[1].collect()} == {"theme.py", "bad.py"}
+    tree(folder, {"generation=broken/part-0.parquet": b"no parquet"})
+    assert store.read().count() >= 3
     store.remove([os.path.join(root, "auth.py")])
     assert "auth.py" in {r.file_path for r in store.split(W.listing(spark, root))[1].collect()}
     assert S.from_json(S.to_json(CodeIndex.from_path(spark, root).chunks)).count() == 3
