@@ -76,3 +76,37 @@ def nearest(vectors: DataFrame, query: list[float], most_block: int = 8192) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m @ q)], ["chunk_idx", "score"])
 
     return vectors.where(F.size("embedding") == len(q)).select("chunk_idx", "embedding").mapInArrow(run, "chunk_idx long, score double")
+
+
+def _blocks(vectors: DataFrame, name: str, size: int) -> DataFrame:
+    """Vectors (chunk_idx, embedding) as rows of about ``size`` ids and their numbers, row after row."""
+    n = max(1, -(-vectors.count() // size))
+    block = F.pmod(F.xxhash64("chunk_idx"), F.lit(n))
+    each = vectors.select(block.alias("b"), F.struct("chunk_idx", F.transform("embedding", lambda x: x.cast("double")).alias("v")).alias("r"))
+    return each.groupBy("b").agg(F.collect_list("r").alias("r")).select(F.transform("r", lambda x: x["chunk_idx"]).alias(f"{name}_ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias(f"{name}_v"))
+
+
+def nearest_to_all(vectors: DataFrame, queries: DataFrame, k: int, places: int = 9, size: int = 1024) -> DataFrame:
+    """J6, J9 for many queries: (query_id, chunk_idx, score, rank) of the ``k`` highest positive products, the query's own id left out.
+
+    Both sides are put in blocks; each pair of blocks is one numpy product, of which only ``k`` rows a query are kept. Nothing is
+    gathered on the driver.
+    """
+    from pyspark.sql import Window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q_ids, x_ids = (np.asarray(b.column(c)[i].values) for c in ("q_ids", "x_ids"))
+                q, x = (np.asarray(b.column(c)[i].values).reshape(len(ids), -1) for c, ids in (("q_v", q_ids), ("x_v", x_ids)))
+                s = np.round(q @ x.T, places)
+                s[q_ids[:, None] == x_ids[None, :]] = 0
+                order = np.lexsort((np.broadcast_to(x_ids, s.shape), -s), axis=1)[:, :k]
+                best = np.take_along_axis(s, order, 1)
+                ok = best > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])[ok.ravel()]), pa.array(x_ids[order][ok]), pa.array(best[ok])], ["query_id", "chunk_idx", "score"])
+
+    pairs = _blocks(queries, "q", size).crossJoin(_blocks(vectors, "x", size))
+    found = pairs.mapInArrow(run, "query_id long, chunk_idx long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_idx")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
