@@ -60,16 +60,18 @@ def weight(index: Bm25, tf: Column, df: Column, doc_len: Column, n: Column, avg:
     return idf * (tf * (index.k1 + 1)) / (tf + index.k1 * (1 - index.b + index.b * norm))
 
 
-def score(index: Bm25, queries: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def score(index: Bm25, queries: DataFrame, only: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(query_id, chunk_idx, score) of every chunk that has a term of a query (query_id, term).
 
-    ``only`` (chunk_idx) restricts the chunks that are scored (F4); the statistics stay those of the whole corpus.
+    ``only`` (chunk_idx) restricts the chunks that are scored (F4); the statistics stay those of the whole corpus. ``few`` says
+    that the terms are those of one query and may be broadcast; else Spark chooses by their size.
     """
+    hint = F.broadcast if few else lambda df: df
     wanted = queries.distinct()
-    df = index.terms.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    df = index.terms.join(hint(wanted.select("term").distinct()), "term", "left_semi")
     known = wanted.join(df, "term")
     postings = index.postings if only is None else index.postings.join(only, "chunk_idx", "left_semi")
-    hits = postings.join(F.broadcast(known), "term").crossJoin(F.broadcast(index.corpus))
+    hits = postings.join(hint(known), "term").crossJoin(F.broadcast(index.corpus))
     part = weight(index, F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n_docs"), F.col("avg_len"))
     return hits.groupBy("query_id", "chunk_idx").agg(F.round(F.sum(part), PLACES).alias("score"))
 
@@ -87,7 +89,7 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 
 def explain(index: Bm25, terms: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
     """Why chunks match: (chunk_idx, score, hits 'term x tf', path_hits, doc_len), best first."""
-    best = ranked(score(index, terms), k)
+    best = ranked(score(index, terms, few=True), k)
     hits = index.postings.join(F.broadcast(best.select("query_id", "chunk_idx", "score")), "chunk_idx").join(F.broadcast(terms.distinct()), ["query_id", "term"])
     found = hits.groupBy("chunk_idx", "score", "doc_len").agg(F.array_join(F.array_sort(F.collect_list(F.concat("term", F.lit("x"), "tf"))), " ").alias("hits"), F.collect_set("term").alias("terms"))
     path = F.array_distinct(T.tokenize(T.enrich(F.lit(""), F.col("file_path"))))

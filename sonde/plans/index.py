@@ -86,7 +86,7 @@ class CodeIndex:
 
     def lexical_hits(self, query: str, k: int, only: DataFrame | None = None) -> DataFrame:
         q = self.spark.createDataFrame([(0, query)], "query_id int, query string")
-        return bm25.ranked(bm25.score(self.lexical, bm25.query_terms(q), only), k).select("chunk_idx", "score", "rank")
+        return bm25.ranked(bm25.score(self.lexical, bm25.query_terms(q), only, few=True), k).select("chunk_idx", "score", "rank")
 
     def dense_hits(self, vector: list[float] | None, k: int, only: DataFrame | None = None) -> DataFrame:
         """K3: the ``k`` chunks with the highest positive dot product."""
@@ -133,7 +133,7 @@ class CodeIndex:
         me = F.col("chunk_idx") != got["chunk_idx"]
         q = self.spark.createDataFrame([(got["content"], got["file_path"])], "content string, file_path string")
         terms = q.select(F.lit(0).alias("query_id"), F.explode(F.array_distinct(T.tokenize(T.enrich(F.col("content"), F.col("file_path"))))).alias("term"))
-        lex = bm25.ranked(bm25.ranked(bm25.score(self.lexical, terms), 5 * top_k + 1).where(me).select("query_id", "chunk_idx", "score"), 5 * top_k).select("chunk_idx", "score", "rank")
+        lex = bm25.ranked(bm25.ranked(bm25.score(self.lexical, terms, few=True), 5 * top_k + 1).where(me).select("query_id", "chunk_idx", "score"), 5 * top_k).select("chunk_idx", "score", "rank")
         den = _hits(self.spark)
         if self.vectors is not None:
             v = self.vectors.where(F.col("chunk_idx") == got["chunk_idx"]).select("embedding").first()

@@ -389,7 +389,7 @@ def _topk(name: str, k1: float, b: float, where: str = "true", only=None) -> Non
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks, index = _lexical(spark, sf_dir, k1=k1, b=b)
-        s = bm25.score(index, _terms(spark, TEXT), None if only is None else chunks.where(only()).select("chunk_idx"))
+        s = bm25.score(index, _terms(spark, TEXT), None if only is None else chunks.where(only()).select("chunk_idx"), few=True)
         return bm25.ranked(s, 40).select("rank", "chunk_idx", "score")
 
 
@@ -679,7 +679,7 @@ def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, index = _lexical(spark, sf_dir)
     other = bm25.Bm25(index.postings, index.terms, index.corpus, 0.9, 0.4)
-    a, b = (bm25.ranked(bm25.score(i, _terms(spark, TEXT)), 40).join(chunks, "chunk_idx") for i in (index, other))
+    a, b = (bm25.ranked(bm25.score(i, _terms(spark, TEXT), few=True), 40).join(chunks, "chunk_idx") for i in (index, other))
     return plans.overlap(a, b)
 
 
