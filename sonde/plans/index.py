@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,12 @@ RESULT = "file_path string, start_line int, end_line int, score double, content
 
 
 def _hits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "chunk_idx long, score double, rank int")
+    return spark.range(0, 0, 1, 1).select(F.col("id").alias("chunk_idx"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+
+
+def _one(spark: SparkSession, **values) -> DataFrame:
+    """A row of literals: a plan that the optimizer folds, without a Python list behind it."""
+    return spark.range(0, 1, 1, 1).select(*(F.lit(v).alias(k) for k, v in values.items()))
 
 
 @dataclass
@@ -54,9 +59,11 @@ class CodeIndex:
         return cls.from_chunks(spark, chunk_tree(spark, root, provider, store), model, tokenizer)
 
     def cache(self) -> CodeIndex:
-        """Keeps chunks, statistics and vectors, and computes them now."""
+        """Keeps chunks, statistics and vectors, and computes them now; the corpus's one row becomes literals."""
         for df in self._tables():
             df.cache().count()
+        row = self.lexical.corpus.first()
+        self.lexical = replace(self.lexical, corpus=_one(self.spark, n_docs=row["n_docs"], avg_len=row["avg_len"]))
         return self
 
     def unpersist(self) -> None:
@@ -85,7 +92,7 @@ class CodeIndex:
         return self.chunks.where(T.slashes(F.col("file_path")).isin(wanted) if wanted else F.lit(False)).select("chunk_idx")
 
     def lexical_hits(self, query: str, k: int, only: DataFrame | None = None) -> DataFrame:
-        q = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        q = _one(self.spark, query_id=0, query=query)
         return bm25.ranked(bm25.score(self.lexical, bm25.query_terms(q), only, few=True), k).select("chunk_idx", "score", "rank")
 
     def dense_hits(self, vector: list[float] | None, k: int, only: DataFrame | None = None) -> DataFrame:
@@ -131,7 +138,7 @@ class CodeIndex:
         if got is None:
             return self.spark.createDataFrame([], RESULT)
         me = F.col("chunk_idx") != got["chunk_idx"]
-        q = self.spark.createDataFrame([(got["content"], got["file_path"])], "content string, file_path string")
+        q = _one(self.spark, content=got["content"], file_path=got["file_path"])
         terms = q.select(F.lit(0).alias("query_id"), F.explode(F.array_distinct(T.tokenize(T.enrich(F.col("content"), F.col("file_path"))))).alias("term"))
         lex = bm25.ranked(bm25.ranked(bm25.score(self.lexical, terms, few=True), 5 * top_k + 1).where(me).select("query_id", "chunk_idx", "score"), 5 * top_k).select("chunk_idx", "score", "rank")
         den = _hits(self.spark)
@@ -144,7 +151,7 @@ class CodeIndex:
 
     def explain(self, query: str, k: int = 15) -> DataFrame:
         """C10."""
-        q = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        q = _one(self.spark, query_id=0, query=query)
         return bm25.explain(self.lexical, bm25.query_terms(q), self.chunks, k)
 
 

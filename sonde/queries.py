@@ -121,7 +121,7 @@ def s_ranked(scores: str, k: int) -> str:
 
 
 def _terms(spark: SparkSession, text: str) -> DataFrame:
-    return bm25.query_terms(spark.createDataFrame([(0, text)], "query_id int, query string"))
+    return bm25.query_terms(spark.range(0, 1, 1, 1).select(F.lit(0).alias("query_id"), F.lit(text).alias("query")))
 
 
 def s_terms(text: str) -> str:
