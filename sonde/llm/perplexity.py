@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, small_join, table
+from .common import chunks, cut, mix, small_join, table
 
 ORDER = 5
 BITS = 12
 _MASK = np.uint64((1 << BITS) - 1)
 #: Grams that a task holds before it merges or hands on its partial counts.
-HELD = 1_500_000
+HELD = 500_000
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +88,8 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
             for k in sorted(set(langs.tolist())):
                 mine = [texts[i] for i in np.flatnonzero(langs == k)]
-                for lo in range(0, len(mine), 500):
-                    g = grams(*symbols(mine[lo : lo + 500]))
+                for lo, hi in chunks(mine, 1 << 18):
+                    g = grams(*symbols(mine[lo:hi]))
                     if not len(g):
                         continue
                     u, c = np.unique(g, return_counts=True)
@@ -151,13 +151,16 @@ class Model:
 
     @classmethod
     def of(cls, rows: pa.Table) -> Model:
-        langs = np.asarray(rows.column("lang").to_pylist(), object)
+        coded = rows.column("lang").combine_chunks().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.unify_dictionaries().combine_chunks()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         m = rows.column("m").to_numpy()
         g = rows.column("gram").to_numpy().view(np.uint64)
         p, bow = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in ("p", "bow"))
         out = {}
-        for k in sorted(set(langs.tolist())):
-            at = np.flatnonzero(langs == k)
+        for k in sorted(names):
+            at = np.flatnonzero(code == names.index(k))
             h = np.zeros(len(at), np.uint64)
             for o in range(ORDER + 1):
                 own = m[at] == o
@@ -186,7 +189,7 @@ class Model:
         return np.log(prob)[back]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 8_000_000) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 4_000_000) -> Model:
     """Counts, smooths and gathers the model.
 
     The driver takes it only after its rows are counted: above ``most_rows`` 5-grams seen once, then twice and so on leave the
@@ -212,8 +215,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for k in sorted(set(langs.tolist())):
                 mine = np.flatnonzero(langs == k)
-                for lo in range(0, len(mine), 500):
-                    at = mine[lo : lo + 500]
+                for lo, hi in chunks([texts[i] for i in mine], 1 << 18):
+                    at = mine[lo:hi]
                     s, size = symbols([texts[i] for i in at])
                     n[at] = size
                     g = grams(s, size)
