@@ -202,7 +202,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int
         rows = cut(rows.join(counts.where(F.col("n") < least).select("lang", F.lit(ORDER).alias("m"), "gram"), ["lang", "m", "gram"], "left_anti"))
         if least > 64:
             raise ValueError("the model does not fit; raise most_rows")
-    return Model.of(rows.toArrow())
+    slim = rows.select("lang", F.col("m").cast("byte").alias("m"), "gram", F.col("p").cast("float").alias("p"), F.col("bow").cast("float").alias("bow"))
+    return Model.of(slim.toArrow())
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
