@@ -7,10 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
-#: Zero-width breaks inside an alphanumeric run: aB, ABc before B, a1 and 1a.
-_BREAKS = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
-_CAMEL = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+UP, LOW, DIGIT = "[A-Z]", "[a-z]", "[0-9]"
+LETTER, ALNUM, INNER = "[A-Za-z]", "[0-9A-Za-z]", "[0-9A-Z_a-z]"
+IDENTIFIER = f"[A-Z_a-z]{INNER}*"
+
+
+def _between(left: str, right: str) -> str:
+    """Zero-width place after ``left`` and before ``right``."""
+    return f"(?<={left})(?={right})"
+
+
+#: Breaks inside an alphanumeric run: aB, ABc before B, a1 and 1a.
+_BREAKS = "|".join((_between("[0-9a-z]", UP), _between(UP, UP + LOW), _between(LETTER, DIGIT), _between(DIGIT, LETTER)))
+_CAMEL = "|".join((f"{UP}+(?={UP}{LOW})", f"{UP}?{LOW}+", f"{UP}+", f"{DIGIT}+"))
 
 EXTENSIONS = {
     ext: grammar
@@ -104,7 +113,7 @@ def trim(c: Column) -> Column:
 
 
 _SEP = r"(?:::|\\|->|\.)"
-SYMBOL = "|".join((rf"{IDENTIFIER}(?:{_SEP}{IDENTIFIER})+", "_[A-Za-z0-9_]*", "[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*", "[A-Z][A-Za-z0-9]*"))
+SYMBOL = "|".join((rf"{IDENTIFIER}(?:{_SEP}{IDENTIFIER})+", f"_{INNER}*", f"{LETTER}{ALNUM}*[A-Z_]{INNER}*", f"{UP}{ALNUM}*"))
 
 
 def is_symbol(query: Column) -> Column:
@@ -125,7 +134,8 @@ def symbol_name(query: Column) -> Column:
     return out
 
 
-EMBEDDED = "(?<![A-Za-z0-9_])(?:[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+)(?![A-Za-z0-9_])"
+CAMEL_WORD = "|".join((f"{UP}{LOW}{ALNUM}*{UP}{ALNUM}*", f"{LOW}{ALNUM}*{UP}{ALNUM}+"))
+EMBEDDED = f"(?<!{INNER})(?:{CAMEL_WORD})(?!{INNER})"
 
 
 def embedded_symbols(query: Column) -> Column:
@@ -140,13 +150,13 @@ def escape(name: str) -> str:
 def defining_pattern(names: list[str]) -> str:
     """Pattern of a line that defines one of ``names`` (T12), as one alternation."""
     who = "|".join(sorted(map(escape, names)))
-    return rf"(?m)(?:^|(?<={SPACE}))(?:{DEFINERS}|(?i:{SQL_DEFINERS})){SPACE}+(?:{IDENTIFIER}(?:\.|::))*(?:(?:{who}))(?:{SPACE}|[<(\{{:\[;]|$)"
+    return rf"(?m)(?:^|(?<={SPACE}))(?:{DEFINERS}|(?i:{SQL_DEFINERS})){SPACE}+(?:{IDENTIFIER}(?:\.|::))*(?:(?:{who}))(?:{SPACE}|[;:\[\{{(<]|$)"
 
 
 def defines(content: Column, names: list[str]) -> Column:
     """Whether ``content`` defines one of ``names``. SQL definitions match names in any case."""
     sql = "|".join(sorted(map(escape, names)))
-    insensitive = rf"(?mi)(?:^|(?<={SPACE})){SQL_DEFINERS}{SPACE}+(?:{IDENTIFIER}(?:\.|::))*(?:{sql})(?:{SPACE}|[<(\{{:\[;]|$)"
+    insensitive = rf"(?mi)(?:^|(?<={SPACE})){SQL_DEFINERS}{SPACE}+(?:{IDENTIFIER}(?:\.|::))*(?:{sql})(?:{SPACE}|[;:\[\{{(<]|$)"
     return F.rlike(content, F.lit(defining_pattern(names))) | F.rlike(content, F.lit(insensitive))
 
 

@@ -90,7 +90,7 @@ def s_split(w: str) -> str:
 
 
 def s_tokens(c: str) -> str:
-    return f"flatten(list_transform(regexp_extract_all({c}, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: {s_split('w')}))"
+    return f"flatten(list_transform(regexp_extract_all({c}, '[A-Z_a-z][0-9A-Z_a-z]*'), lambda w: {s_split('w')}))"
 
 
 def s_folders(p: str) -> str:
@@ -170,7 +170,7 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("chunk_idx", T.enrich(F.col("content"), F.col("file_path")).alias("enriched"))
 
 
-_BENCH_WORDS = "words AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM benchmark)), forms AS (SELECT item_id, f, CASE f WHEN 0 THEN w WHEN 1 THEN 'ns::' || w WHEN 2 THEN w || '->' || upper(w) WHEN 3 THEN '_' || w WHEN 4 THEN ' App.' || w || '.Run ' ELSE w || ' ' || w END AS q FROM words, (SELECT unnest(range(0, 6)) AS f))"
+_BENCH_WORDS = "words AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Z_a-z][0-9A-Z_a-z]*')) AS w FROM benchmark)), forms AS (SELECT item_id, f, CASE f WHEN 0 THEN w WHEN 1 THEN 'ns::' || w WHEN 2 THEN w || '->' || upper(w) WHEN 3 THEN '_' || w WHEN 4 THEN ' App.' || w || '.Run ' ELSE w || ' ' || w END AS q FROM words, (SELECT unnest(range(0, 6)) AS f))"
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t11_embedded_symbols",
-    f"WITH {_NAMES} SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all('find ' || ident || ' near ' || ident || ' XMLThing fooBar fooB', '[A-Za-z0-9_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+')))), ' ') AS symbols FROM idents",
+    f"WITH {_NAMES} SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all('find ' || ident || ' near ' || ident || ' XMLThing fooBar fooB', '[A-Za-z0-9_]+'), lambda w: regexp_full_match(w, '{T.CAMEL_WORD}')))), ' ') AS symbols FROM idents",
 )
 def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.concat(F.lit("find "), "ident", F.lit(" near "), "ident", F.lit(" XMLThing fooBar fooB"))
@@ -203,7 +203,7 @@ def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in sorted(T.STOPWORDS)) + "]"
-_S_KEYWORDS = f"list_filter(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: lower(w)), lambda w: length(w) > 2)), lambda w: NOT list_contains({_STOP}, w))"
+_S_KEYWORDS = f"list_filter(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Z_a-z][0-9A-Z_a-z]*'), lambda w: lower(w)), lambda w: length(w) > 2)), lambda w: NOT list_contains({_STOP}, w))"
 _S_PARTS = f"list_distinct(list_concat({s_stems(s_stem('file_path'))}, CASE WHEN {s_parent('file_path')} IN ('', '.', '..') THEN [] ELSE {s_stems(s_parent('file_path'))} END))"
 
 
@@ -282,7 +282,7 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).where(~T.ignored(F.col("file_path"), RULES))
 
 
-_S_DEFINES = "regexp_matches(content, '(?m)(?:^|\\s)(?:{d})\\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\\.|::))*(?:{n})(?:\\s|[<(\\{{:\\[;]|$)')"
+_S_DEFINES = "regexp_matches(content, '(?m)(?:^|\\s)(?:{d})\\s+(?:[A-Z_a-z][0-9A-Z_a-z]*(?:\\.|::))*(?:{n})(?:\\s|[;:\\[\\{{(<]|$)')"
 
 
 def s_tier(names: list[str], content: str = "content", path: str = "file_path") -> str:
