@@ -216,7 +216,7 @@ def _score(docs: DataFrame, net: Network | None, text: str) -> tuple[DataFrame,
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             texts = b.column(at).to_pylist()
             best: list = [None] * len(texts)
             prob = np.zeros(len(texts))
