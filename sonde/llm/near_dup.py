@@ -62,10 +62,26 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return fps.groupBy("doc_id").agg(F.min(F.struct(*FP)).alias("f")).select("doc_id", *(F.col(f"f.{c}").alias(c) for c in FP))
 
 
+#: Chance that a pair at the limit shares one of the ways in which an oversized bucket is split.
+MEET = 0.9
+
+
 def _sample(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).permutation(BITS)[:n]
 
 
+def _further(path: int, tables: int, bits: int, extra: int) -> np.ndarray:
+    """``extra`` coordinates for one way of splitting the buckets under ``path``; none is among those of the path's table."""
+    free_ = np.setdiff1d(np.arange(BITS), _sample(path % tables, bits))
+    return np.random.default_rng([path, 1]).permutation(free_)[:extra]
+
+
+def ways(extra: int, rate: float) -> int:
+    """Independent samples of ``extra`` bits of which a pair at ``rate`` differing bits shares one with a chance of MEET."""
+    together = (1 - rate) ** extra
+    return math.ceil(math.log(1 - MEET) / math.log1p(-together)) if together < MEET else 1
+
+
 def _project(f: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The bits of ``f`` (n, 4) at the coordinates ``at``, folded to a uint64."""
     key = np.zeros(len(f), np.uint64)
@@ -78,12 +94,13 @@ def _lanes(b: pa.RecordBatch) -> np.ndarray:
     return np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FP], 1).astype(np.int64).view(np.uint64) if b.num_rows else np.zeros((0, LANES), np.uint64)
 
 
-_KEYED = "key long, doc_id long, " + ", ".join(f"{c} long" for c in FP)
+#: path is the table plus ``tables`` times a number for the ways that led to the bucket.
+_KEYED = "key long, doc_id long, " + ", ".join(f"{c} long" for c in FP) + ", path long"
 
 
-def _keyed(key: np.ndarray, ids: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+def _keyed(key: np.ndarray, ids: np.ndarray, f: np.ndarray, path: int) -> pa.RecordBatch:
     f = f.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(LANES))], ["key", "doc_id", *FP])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), *(pa.array(np.ascontiguousarray(f[:, j])) for j in range(LANES)), pa.array(np.full(len(key), path, np.int64))], ["key", "doc_id", *FP, "path"])
 
 
 def buckets(reps: DataFrame, tables: int, bits: int) -> DataFrame:
@@ -93,28 +110,29 @@ def buckets(reps: DataFrame, tables: int, bits: int) -> DataFrame:
         for b in batches:
             f, ids = _lanes(b), b.column("doc_id").to_numpy(zero_copy_only=False)
             for t in range(tables):
-                yield _keyed(mix(_project(f, _sample(t, bits)) ^ mix(np.full(len(f), t + 1, np.uint64))), ids, f)
+                yield _keyed(mix(_project(f, _sample(t, bits)) ^ mix(np.full(len(f), t + 1, np.uint64))), ids, f, t)
 
     return reps.mapInArrow(run, _KEYED)
 
 
-def split(big: DataFrame, cap: int, level: int, rate: float) -> DataFrame:
+def split(big: DataFrame, tables: int, bits: int, cap: int, rate: float) -> DataFrame:
     """Members of oversized buckets under further sampled bits.
 
-    A bucket of n gets 1 + log2(n / cap) bits; as each bit costs recall, it is split in several independent ways,
-    as many as bring the chance that a pair at ``rate`` differing bits meets back to where it was.
+    A bucket of n gets 1 + log2(n / cap) bits; as each bit costs recall, it is split in as many ways as :func:`ways` says.
+    Every way of every table samples on its own, so that a pair that one of them separates can meet in another.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f, ids = _lanes(b), b.column("doc_id").to_numpy(zero_copy_only=False)
-            key, n = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64), b.column("n").to_numpy(zero_copy_only=False)
+            key, n, path = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64), b.column("n").to_numpy(zero_copy_only=False), b.column("path").to_numpy(zero_copy_only=False)
             extra = np.ceil(np.log2(n / cap)).astype(int) + 1
-            for e in np.unique(extra):
-                at = np.flatnonzero(extra == e)
-                for r in range(math.ceil((1 - rate) ** -float(e))):
-                    more = _project(f[at], _sample(1_000_003 * (level + 1) + 1009 * r, int(e)))
-                    yield _keyed(mix(mix(key[at] + np.uint64(r + 1)) ^ more), ids[at], f[at])
+            for p, e in np.unique(np.stack([path, extra], 1), axis=0).tolist():
+                at = np.flatnonzero((path == p) & (extra == e))
+                for w in range(ways(e, rate)):
+                    own = p % tables + tables * (1009 * (p // tables) + w + 1)
+                    more = _project(f[at], _further(own, tables, bits, e))
+                    yield _keyed(mix(mix(key[at] + np.uint64(w + 1)) ^ more), ids[at], f[at], own)
 
     return big.mapInArrow(run, _KEYED)
 
@@ -168,7 +186,7 @@ def links(keyed: DataFrame, most: int) -> DataFrame:
         if held:
             yield complete(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    parts = keyed.repartition("key").sortWithinPartitions("key", "doc_id")
+    parts = keyed.select("key", "doc_id", *FP).repartition("key").sortWithinPartitions("key", "doc_id")
     return parts.mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -192,13 +210,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 48, tables: int = 24, bits: int = 14, cap: int = 1024, rate: float = 0.14, levels: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 48, tables: int = 50, bits: int = 14, cap: int = 1024, rate: float | None = None, levels: int = 3) -> DataFrame:
     """(doc_id, keep_id) for every document that is a near copy of one that stays; keep_id is the least id of the group.
 
     Two texts are near when their 256-bit SimHashes (distinct lower-cased words) differ in at most ``most`` bits;
     groups are the connected components. Texts of one fingerprint are first taken together. The others are put
     in ``tables`` tables by ``bits`` sampled coordinates; buckets of more than ``cap`` fingerprints get additional
     bits, ``levels`` times at most, and what is oversized even then is compared in full. No pair of a bucket is left out.
+    With the defaults a pair at ``most`` bits is met with a chance of 0.92, one at 36 bits with 0.99; where all its
+    buckets are split once, with 0.9 and 0.99. Splits are made for pairs at ``rate`` differing bits, ``most`` unless given.
 
     Rows of a null id, and texts that are null, empty or without a word, are in no group. Rows that share an id are one
     document (the least fingerprint counts). Case, punctuation and repeated words make no difference. Other columns are
@@ -207,13 +227,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fp = cut(fingerprint_table(docs, doc_id, text))
     reps = cut(fp.groupBy(*FP).agg(F.min("doc_id").alias("doc_id")))
     now, done = buckets(reps, tables, bits), None
-    for level in range(levels):
+    rate = most / (BITS - bits) if rate is None else rate
+    for _ in range(levels):
         big = cut(now.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap))
         if big.isEmpty():
             break
         fits = small_join(now, big.select("key"), ["key"], "left_anti").select(*now.columns)
         done = fits if done is None else done.union(fits)
-        now = split(small_join(now, big, ["key"], "inner").select(*now.columns, "n"), cap, level, rate)
+        now = split(small_join(now, big, ["key"], "inner").select(*now.columns, "n"), tables, bits, cap, rate)
     roots = components(links(now if done is None else done.union(now), most))
     same = fp.join(reps.withColumnRenamed("doc_id", "rep"), FP).select("doc_id", "rep")
     found = same.join(roots.select(F.col("doc_id").alias("rep"), "root"), "rep", "left")

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -64,6 +65,25 @@ def test_oversized_buckets_are_split_and_still_found(spark, corpus):
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
 
 
+def test_pairs_meet_at_each_distance_though_all_buckets_are_split(spark):
+    """Pairs at 36 and 48 bits, every bucket taken for one of 8 and of 256 times the cap."""
+    rng, how = np.random.default_rng(5), {k: p.default for k, p in inspect.signature(N.near_duplicates).parameters.items()}
+    pairs = 500
+    for distance, least in ((36, 0.97), (48, 0.86)):
+        flip = np.zeros((pairs, N.BITS), np.uint8)
+        for row in flip:
+            row[rng.choice(N.BITS, distance, replace=False)] = 1
+        one = rng.integers(0, 2, (pairs, N.BITS), np.uint8)
+        f = np.packbits(np.stack([one, one ^ flip], 1).reshape(-1, N.BITS), axis=1, bitorder="little").view(np.int64)
+        reps = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(f)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+        keyed = N.buckets(reps, how["tables"], how["bits"])
+        for times in (4, 128):
+            big = keyed.selectExpr("*", f"{how['cap'] * times} n")
+            parts = N.split(big, how["tables"], how["bits"], how["cap"], how["rate"] or how["most"] / (N.BITS - how["bits"]))
+            met = parts.selectExpr("key", "doc_id", "doc_id div 2 pair").groupBy("key", "pair").agg({"doc_id": "count"}).where("`count(doc_id)` > 1").select("pair").distinct().count()
+            assert met >= least * pairs, (distance, times, met)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (4, 5), (5, 7), (6, 7), (8, 10)], "a long, b long")
     assert {r.doc_id: r.root for r in N.components(edges).collect()} == {2: 1, 3: 1, 9: 1, 5: 4, 6: 4, 7: 4, 10: 8}
