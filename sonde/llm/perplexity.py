@@ -190,7 +190,7 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 4_000_000) -> Model:
-    """Counts, smooths and gathers the model.
+    """Counts, smooths and gathers a model that may be pruned; the filter doesn't use it.
 
     The driver takes it only after its rows are counted: above ``most_rows`` 5-grams seen once, then twice and so on leave the
     tables that are sent out (a 5-gram that is left out is scored by its shorter grams), until it fits.
@@ -202,12 +202,64 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int
         rows = cut(rows.join(counts.where(F.col("n") < least).select("lang", F.lit(ORDER).alias("m"), "gram"), ["lang", "m", "gram"], "left_anti"))
         if least > 64:
             raise ValueError("the model does not fit; raise most_rows")
+    return _gathered(rows)
+
+
+def _gathered(rows: DataFrame) -> Model:
     slim = rows.select("lang", F.col("m").cast("byte").alias("m"), "gram", F.col("p").cast("float").alias("p"), F.col("bow").cast("float").alias("bow"))
     return Model.of(slim.toArrow())
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, n, log_ppl): mean negative log probability of a character; null where a text has none."""
+#: Symbols three and two before the end of a 5-gram decide its part: all that it is scored by ends in them, or is short.
+_PAIR = (1 << 2 * BITS) - 1
+
+
+def _part(pair: np.ndarray, parts: int) -> np.ndarray:
+    return (pair * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(parts)
+
+
+def _in_part(rows: DataFrame, part: int, parts: int) -> DataFrame:
+    """The shares and context weights that score the 5-grams of one of ``parts``; those of the shortest grams are in each."""
+    last, before = F.col("gram").bitwiseAND(_PAIR), F.shiftright("gram", BITS).bitwiseAND(_PAIR)
+    here = lambda pair: F.expr(f"pmod(shiftright({pair} * 2654435761L, 16), {parts})") == part
+    x = rows.withColumns({"l": last, "b": before})
+    p, bow = (F.when(short | here(c), F.col(k)) for short, c, k in ((F.col("m") <= 2, "b", "p"), (F.col("m") <= 1, "l", "bow")))
+    return x.select("lang", "m", "gram", p.alias("p"), bow.alias("bow")).where("p is not null or bow is not null")
+
+
+def score_in_parts(docs: DataFrame, rows: DataFrame, parts: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """:func:`score` under a model table of any size: one part of it after the other is sent out, each for its own 5-grams.
+
+    Sums are kept by language and MD5 of the text, as equal texts have equal scores.
+    """
+    name = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), name.alias("lang"), F.col(text).cast("string").alias("text"))
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    sums = None
+    for part in range(parts):
+        model = _gathered(_in_part(rows, part, parts))
+        one = cut(score(keyed.withColumn("doc_id", key), model, part=(part, parts)).distinct().withColumn("part", F.lit(part)))
+        sums = one if sums is None else sums.unionByName(one)
+    total = sums.groupBy("doc_id", "lang", "part").agg(F.max("n").alias("n"), F.max("log_ppl").alias("log_ppl"))
+    total = total.groupBy("doc_id", "lang").agg(F.max("n").alias("n"), F.sum("log_ppl").alias("log_ppl"))
+    own = keyed.select("doc_id", "lang", key.alias("key"))
+    return own.join(total.withColumnRenamed("doc_id", "key"), ["key", "lang"]).select("doc_id", "lang", "n", "log_ppl")
+
+
+def scored_by_own(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_rows: int = 4_000_000) -> DataFrame:
+    """Scores of all documents under the whole model of them; above ``most_rows`` the model goes out in parts, and no gram is left out."""
+    rows = cut(model_table(cut(gram_counts(docs, text, lang))))
+    parts = -(-rows.count() // most_rows)
+    if parts > 1:
+        return score_in_parts(docs, rows, parts, doc_id, text, lang)
+    return score(docs, _gathered(rows), doc_id, text, lang)
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", part: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, lang, n, log_ppl): mean negative log probability of a character; null where a text has none.
+
+    With ``part`` = (part, parts) only the 5-grams of that part add to the mean.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +274,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                     n[at] = size
                     g = grams(s, size)
                     if len(g) and k in shared.value.arrays:
-                        total[at] = np.bincount(np.repeat(np.arange(len(at)), size), -shared.value.log_probs(k, g), len(at))
+                        owner = np.repeat(np.arange(len(at)), size)
+                        if part:
+                            own = _part((g >> np.uint64(BITS)) & np.uint64(_PAIR), part[1]) == part[0]
+                            g, owner = g[own], owner[own]
+                        total[at] = np.bincount(owner, -shared.value.log_probs(k, g), len(at))
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), mean], ["doc_id", "lang", "n", "log_ppl"])
 
@@ -231,10 +287,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, n long, log_ppl double")
 
 
-def perplexity_filter(docs: DataFrame, width: float = 9.0, short: float = 400.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def perplexity_filter(docs: DataFrame, width: float = 9.0, short: float = 400.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_rows: int = 4_000_000) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, lower, upper, keep) of every row.
 
-    The model is counted over all documents, for each language apart. A language's band is its median log perplexity plus and
+    The model is counted over all documents, for each language apart, and is whole at any size (:func:`scored_by_own`). A language's band is its median log perplexity plus and
     minus ``width`` robust deviations (1.4826 times the median absolute one), wider by sqrt(1 + ``short`` / n) for a
     text of n symbols, as short texts scatter more; lower and upper are a document's bounds as perplexities, and keep is false outside of
     them. Medians are taken over all documents, to 0.1 % of rank.
@@ -242,7 +298,7 @@ def perplexity_filter(docs: DataFrame, width: float = 9.0, short: float = 400.0,
     A null language is the language ''. A null or empty text has no symbol, a null perplexity and keep false; a blank one has one symbol.
     Equal texts get equal scores and repeated rows count as often as they occur; other columns are ignored. An empty table gives no rows.
     """
-    scored = cut(score(docs, fit(docs, text, lang), doc_id, text, lang))
+    scored = cut(scored_by_own(docs, doc_id, text, lang, most_rows))
     middle = scored.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"))
     spread = small_join(scored, middle, ["lang"], "inner").groupBy("lang").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 1000).alias("mad"))
     x = small_join(scored, spread, ["lang"], "left")

@@ -70,6 +70,16 @@ def test_a_pruned_model_still_scores(spark):
     assert len(model.arrays["en"][0]) < full and np.isfinite(model.log_probs("en", P.grams(*P.symbols(["the cat"])))).all()
 
 
+def test_a_model_above_the_limit_scores_as_a_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    more = spark.createDataFrame([(10**6, None, None, None, None), (10**6, "", "fr", "s", 0), (None, "zz \u4e2d\u6587", "xx", "s", 1), (10**6 + 1, "zz \u4e2d\u6587", "xx", "s", 1)], docs.schema)
+    whole, parts = (sorted((tuple(r) for r in P.perplexity_filter(docs.union(more).union(docs.limit(5)), **how).collect()), key=str) for how in ({}, {"most_rows": 15_000}))
+    assert len(whole) == len(parts)
+    for a, b in zip(whole, parts, strict=True):
+        assert a[:3] == b[:3] and a[6] == b[6]
+        assert all(x is y is None or math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[3:6], b[3:6], strict=True))
+
+
 def test_bands(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     junk = spark.createDataFrame([(10**6, "xq" * 4000, "en", "s", 1), (10**6 + 1, "the " * 5000, "en", "s", 1), (10**6 + 2, None, None, None, None), (10**6 + 3, "", "fr", "s", 0), (None, " \n ", "fr", "s", 0)], docs.schema)
