@@ -15,6 +15,10 @@ from .common import table
 WINDOW = 20
 #: Class of a candidate: what it must match as a whole, and the window entropy (bits a character) from which it is a secret.
 CLASSES = (("hex", r"(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+", 2.9), ("base64", r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/=_-]+", 3.9))
+#: Class of values of upper-case letters and digits, which have fewer symbols to draw from than the mixed ones.
+UPPER = ("upper", r"(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+", 3.2)
+#: What may stand before the random part of a key, as in sk_live_.
+PREFIX = re.compile(r"(?:[A-Za-z]{2,8}[_-]){1,3}")
 #: Candidates that hold one of these are examples, counters or hashes that are public by their form.
 ALLOWED = (r"(?i)example", r"(?i)dummy", r"(?i)placeholder", r"(?i)x{6}", r"0123456789", r"(?i)abcdefghij", r"^sha(?:1|256|384|512)-")
 
@@ -52,17 +56,38 @@ class Scanner:
         self.window, self.allow_list = window, frozenset(allow_list)
         self.candidate = re.compile(rf"[A-Za-z0-9+/=_-]{{{window},}}")
         self.classes = [(name, re.compile(p), limit) for name, p, limit in classes]
+        self.value_classes = [*self.classes[:1], (UPPER[0], re.compile(UPPER[1]), UPPER[2]), *self.classes[1:]]
         self.allowed = re.compile("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in allowed)) if allowed else None
 
+    def _judge(self, s: str, classes) -> tuple[str, float] | None:
+        """Class and entropy of ``s`` if it is a secret."""
+        kind = next(((name, limit) for name, p, limit in classes if p.fullmatch(s)), None)
+        if kind is None or s in self.allow_list or (self.allowed and self.allowed.search(s)):
+            return None
+        h = window_entropy(s, self.window)
+        return (kind[0], h) if h >= kind[1] else None
+
+    def _values(self, s: str) -> Iterator[tuple[int, str]]:
+        """(offset, value) of what stands between the = of a candidate, and of the value without its prefix."""
+        for v in re.finditer("[^=]+", s):
+            if self.allowed and self.allowed.search(v[0]):
+                continue
+            prefix = PREFIX.match(v[0])
+            for at in (0, prefix.end()) if prefix else (0,):
+                if len(v[0]) - at >= self.window:
+                    yield v.start() + at, v[0][at:]
+
     def scan(self, text: str | None) -> Iterator[tuple[int, int, str, float, str]]:
         for m in self.candidate.finditer(text or ""):
             s = m[0]
-            kind = next(((name, limit) for name, p, limit in self.classes if p.fullmatch(s)), None)
-            if kind is None or s in self.allow_list or (self.allowed and self.allowed.search(s)):
-                continue
-            h = window_entropy(s, self.window)
-            if h >= kind[1]:
-                yield m.start(), m.end(), kind[0], h, s
+            if found := self._judge(s, self.classes):
+                yield m.start(), m.end(), *found, s
+            elif s not in self.allow_list:
+                end = 0
+                for at, v in self._values(s):
+                    if at >= end and (found := self._judge(v, self.value_classes)):
+                        end = at + len(v)
+                        yield m.start() + at, m.start() + end, *found, v
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -70,7 +95,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
     A candidate is a maximal run of at least ``window`` letters, digits and + / = _ -. Its class is the first of ``classes``
     that it matches; it is a secret when some window of it reaches the class's entropy. Candidates on ``allow_list``, or
-    that match a pattern of ``allowed``, are passed over. begin and end count characters; masked is the first four
+    that match a pattern of ``allowed``, are passed over. Where a whole candidate is no secret, the values between its = are
+    judged in the same way, and without a prefix such as sk_, upper-case ones by a class of their own. begin and end count characters; masked is the first four
     and the length. Null and empty texts and those without a secret give no row; a secret gives a row for each place, and
     repeated rows theirs. Other columns are ignored.
     """

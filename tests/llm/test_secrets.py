@@ -1,5 +1,6 @@
 import math
 import random
+import string
 from collections import Counter
 
 from sonde.llm import secrets as S
@@ -28,3 +29,15 @@ def test_scan(spark):
     h, b = round(S.window_entropy(HEX), 6), round(S.window_entropy(B64), 6)
     assert got == sorted([(1, 11, 51, "hex", h, "24be*40"), (1, 57, 94, "base64", b, "aB3d*37"), (None, 0, 40, "hex", h, "24be*40"), (8, 500000, 500040, "hex", h, "24be*40"), (8, 0, 40, "hex", h, "24be*40"), (8, 41, 81, "hex", h, "24be*40")], key=str)
     assert S.scan_secrets(df, allow_list=[HEX]).count() == 1 and S.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_found_shares_of_random_keys_of_each_form():
+    rng, scanner, hexa, b62 = random.Random(2), S.Scanner(), "0123456789abcdef", string.ascii_letters + string.digits
+    forms = (("AKIA", string.ascii_uppercase + string.digits, 16, 0.95), ("AKIA", string.ascii_uppercase + "234567", 16, 0.95), ("api_key=", hexa, 32, 0.97), ("token=", hexa, 40, 0.97), ("sk_", hexa, 32, 0.97), ("example_api_key=", hexa, 40, 0.97), ("", b62, 20, 0.75), ("", hexa, 40, 0.97))
+    for before, alphabet, n, least in forms:
+        keys = [before + "".join(rng.choices(alphabet, k=n)) for _ in range(400)]
+        found = sum(any(k.endswith(s) and len(s) >= n for *_, s in scanner.scan(f"a {k} b")) for k in keys)
+        assert found >= least * len(keys), (before, n, found)
+    for plain in (f"key={HEX[:-1]}EXAMPLE", "some_long_name_of_a_variable=another_long_name_2", "A_LONG_NAME_OF_A_CONSTANT_2024=1"):
+        assert not list(scanner.scan(plain)), plain
+    assert [x[:3] for x in scanner.scan(f"api_key={HEX}")] in ([(8, 48, "hex")], [(0, 48, "base64")])
