@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _P = 0x9E3779B97F4A7C15
 _PI = pow(_P, -1, 1 << 64)
@@ -106,8 +108,23 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return code, start, end, np.searchsorted(start, base), base
 
 
-def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = 1_000_000) -> DataFrame:
-    """Join that broadcasts ``right`` only after counting it: above ``limit`` rows it is a shuffled join."""
-    from pyspark.sql import functions as F
+#: Bytes, as :func:`is_small` reckons them, up to which a side of a join is broadcast.
+BROADCAST = 32 << 20
 
-    return left.join(F.broadcast(right) if right.limit(limit + 1).count() <= limit else right, on, how)
+
+def is_small(df: DataFrame, limit: int = BROADCAST) -> bool:
+    """Whether all rows of ``df``, counted with the bytes of their columns and 32 more each, come to ``limit`` at most."""
+    width = F.lit(32)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            width = width + 16 * F.greatest(F.size(f.name), F.lit(0))
+        else:
+            width = width + 8
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= limit
+
+
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, limit: int = BROADCAST) -> DataFrame:
+    """Join that broadcasts ``right`` only after a check of its bytes: above ``limit`` it is a shuffled join."""
+    return left.join(F.broadcast(right) if is_small(right, limit) else right, on, how)

@@ -47,7 +47,7 @@ def drop_boilerplate(pages: DataFrame, page_id: str = "page_id", host: str = "ho
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
     bad = cut(boilerplate(rows, "page_id", "host", "text", ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("bad")))
     lines = F.filter(_lines(F.col("text")), lambda x: x != "")
-    joined = small_join(rows, bad, ["host"], "left", limit=100_000).withColumn("lines", lines)
+    joined = small_join(rows, bad, ["host"], "left").withColumn("lines", lines)
     kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(x))))
     out = joined.withColumn("kept", kept)
     return out.select("page_id", "host", F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
