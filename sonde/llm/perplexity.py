@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,11 @@ HELD = 500_000
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """12-bit symbols of all texts, each after ORDER - 1 zeros, and the number of symbols of each text.
 
-    Letters are lower-cased, digits are one symbol, white space is one blank however long; code points from 4096 on
+    Letters keep their case, digits are one symbol, white space is one blank however long, and a run of one mark (as $$$) is
+    one of it, since what follows the first is no surprise; code points from 4096 on
     share the symbols above 2047 by their lower bits. 0 only stands before a text.
     """
-    low = [(t or "").lower() for t in texts]
+    low = [t or "" for t in texts]
     pad = "\0" * (ORDER - 1)
     cp = np.frombuffer("".join(pad + t for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(low)), [len(t) + ORDER - 1 for t in low])
@@ -36,9 +38,8 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     table_ = _folded()
     s = np.where(cp < 4096, table_[np.minimum(cp, 4095)], 2048 + cp % 2048).astype(np.uint16)
     s[start] = 0
-    blank = s == 32
     keep = np.ones(len(s), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[1:] = (s[1:] != s[:-1]) | ~_MARKS[s[1:]]
     return s[keep], np.bincount(owner[keep], minlength=len(low)) - (ORDER - 1)
 
 
@@ -51,6 +52,10 @@ def _folded() -> np.ndarray:
     return t
 
 
+#: Symbols that are neither letters nor digits, the blank among them; of runs of one, the first counts.
+_MARKS = np.array([0 < c < 2048 and not (chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M") for c in range(1 << BITS)])
+
+
 def grams(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The ORDER-gram that ends at each symbol, packed to 60 bits (the oldest symbol highest), text after text."""
     x = s.astype(np.uint64)
@@ -189,20 +194,9 @@ class Model:
         return np.log(prob)[back]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = 4_000_000) -> Model:
-    """Counts, smooths and gathers a model that may be pruned; the filter doesn't use it.
-
-    The driver takes it only after its rows are counted: above ``most_rows`` 5-grams seen once, then twice and so on leave the
-    tables that are sent out (a 5-gram that is left out is scored by its shorter grams), until it fits.
-    """
-    counts, least = cut(gram_counts(docs, text, lang)), 1
-    rows = cut(model_table(counts))
-    while rows.count() > most_rows:
-        least += 1
-        rows = cut(rows.join(counts.where(F.col("n") < least).select("lang", F.lit(ORDER).alias("m"), "gram"), ["lang", "m", "gram"], "left_anti"))
-        if least > 64:
-            raise ValueError("the model does not fit; raise most_rows")
-    return _gathered(rows)
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """Counts, smooths and gathers the whole model at once; for a corpus of any size :func:`scored_by_own` takes it in parts."""
+    return _gathered(model_table(cut(gram_counts(docs, text, lang))))
 
 
 def _gathered(rows: DataFrame) -> Model:
@@ -287,26 +281,49 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, n long, log_ppl double")
 
 
-def perplexity_filter(docs: DataFrame, width: float = 9.0, short: float = 400.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_rows: int = 4_000_000) -> DataFrame:
+def _widths(z: DataFrame, labels: DataFrame | None, budget: float, widths: tuple[float, float], least_labels: int) -> DataFrame:
+    """(lang, down, up): deviations from the median at which a language's bands end.
+
+    They leave ``budget`` / 2 of the documents labelled clean outside on either side; a language of fewer than ``least_labels`` of them
+    takes what all languages have together, and ``widths`` where that is too few.
+    """
+    langs = z.select("lang").distinct()
+    down, up = widths
+    if labels is None:
+        return langs.select("lang", F.lit(down).alias("down"), F.lit(up).alias("up"))
+    clean = cut(z.where("z is not null").join(labels.where(F.col("quality") == 1).select(F.col("doc_id")).distinct(), "doc_id", "left_semi").select("lang", "z"))
+    ends = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("labels"), F.percentile_approx("z", [budget / 2, 1 - budget / 2], 100_000).alias("q")).where(F.col("labels") >= least_labels)
+    every = ends(clean).first()
+    if every is not None:
+        down, up = -every["q"][0], every["q"][1]
+    own = ends(clean, "lang").select("lang", (-F.col("q")[0]).alias("own_down"), F.col("q")[1].alias("own_up"))
+    return small_join(langs, own, ["lang"], "left").select("lang", F.coalesce("own_down", F.lit(down)).alias("down"), F.coalesce("own_up", F.lit(up)).alias("up"))
+
+
+def perplexity_filter(docs: DataFrame, labels: DataFrame | None = None, budget: float = 0.005, widths: tuple[float, float] = (5.0, 3.0), least_labels: int = 200, short: float = 400.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_rows: int = 4_000_000) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, lower, upper, keep) of every row.
 
-    The model is counted over all documents, for each language apart, and is whole at any size (:func:`scored_by_own`). A language's band is its median log perplexity plus and
-    minus ``width`` robust deviations (1.4826 times the median absolute one), wider by sqrt(1 + ``short`` / n) for a
-    text of n symbols, as short texts scatter more; lower and upper are a document's bounds as perplexities, and keep is false outside of
-    them. Medians are taken over all documents, to 0.1 % of rank.
+    The model is counted over all documents, for each language apart, and is whole at any size (:func:`scored_by_own`). A deviation is
+    the distance of a log perplexity from its language's median in robust deviations (1.4826 times the median absolute one), which
+    count as wider by sqrt(1 + ``short`` / n) for a text of n symbols, as short texts scatter more. A language's band ends at two
+    deviations of its own (:func:`_widths`), fitted to ``labels`` (doc_id, quality), of which all with quality 1 are
+    used, or at ``widths`` below and above without labels. lower and upper are a document's bounds as perplexities, and keep is false outside of
+    them. Medians are taken over all documents, to 0.1 % of rank, ends over all labels.
 
     A null language is the language ''. A null or empty text has no symbol, a null perplexity and keep false; a blank one has one symbol.
-    Equal texts get equal scores and repeated rows count as often as they occur; other columns are ignored. An empty table gives no rows.
+    Equal texts get equal scores and repeated rows count as often as they occur; other columns are ignored, as are labels of unknown
+    documents. An empty table gives no rows.
     """
     scored = cut(scored_by_own(docs, doc_id, text, lang, most_rows))
-    middle = scored.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"))
+    middle = cut(scored.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid")))
     spread = small_join(scored, middle, ["lang"], "inner").groupBy("lang").agg(F.first("mid").alias("mid"), F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 1000).alias("mad"))
-    x = small_join(scored, spread, ["lang"], "left")
-    half = width * 1.4826 * F.greatest(F.col("mad"), F.lit(0.005)) * F.sqrt(1 + short / F.greatest(F.col("n"), F.lit(1)))
-    x = x.withColumn("half", half)
-    inside = F.coalesce(F.abs(F.col("log_ppl") - F.col("mid")) <= F.col("half"), F.lit(False))
-    return x.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp("log_ppl").alias("perplexity"), F.exp(F.col("mid") - F.col("half")).alias("lower"), F.exp(F.col("mid") + F.col("half")).alias("upper"), inside.alias("keep"))
+    unit = 1.4826 * F.greatest(F.col("mad"), F.lit(0.005)) * F.sqrt(1 + short / F.greatest(F.col("n"), F.lit(1)))
+    x = small_join(scored, cut(spread), ["lang"], "left").withColumn("unit", unit).withColumn("z", (F.col("log_ppl") - F.col("mid")) / F.col("unit"))
+    x = small_join(x, cut(_widths(x, labels, budget, widths, least_labels)), ["lang"], "left")
+    low, high = F.col("mid") - F.col("down") * F.col("unit"), F.col("mid") + F.col("up") * F.col("unit")
+    inside = F.coalesce(F.col("log_ppl").between(low, high), F.lit(False))
+    return x.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp("log_ppl").alias("perplexity"), F.exp(low).alias("lower"), F.exp(high).alias("upper"), inside.alias("keep"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity_filter(table(spark, sf_dir, "documents"))
+    return perplexity_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

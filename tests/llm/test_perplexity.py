@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sonde.llm import perplexity as P
 
@@ -63,13 +64,6 @@ def test_probabilities_sum_to_one(spark):
     assert abs(np.exp(model.log_probs("en", g)).sum() - 1) < 1e-4
 
 
-def test_a_pruned_model_still_scores(spark):
-    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string")
-    full = len(P.fit(df).arrays["en"][0])
-    model = P.fit(df, most_rows=full - 5)
-    assert len(model.arrays["en"][0]) < full and np.isfinite(model.log_probs("en", P.grams(*P.symbols(["the cat"])))).all()
-
-
 def test_a_model_above_the_limit_scores_as_a_whole(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     more = spark.createDataFrame([(10**6, None, None, None, None), (10**6, "", "fr", "s", 0), (None, "zz \u4e2d\u6587", "xx", "s", 1), (10**6 + 1, "zz \u4e2d\u6587", "xx", "s", 1)], docs.schema)
@@ -80,17 +74,55 @@ def test_a_model_above_the_limit_scores_as_a_whole(spark):
         assert all(x is y is None or math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[3:6], b[3:6], strict=True))
 
 
-def test_bands(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    junk = spark.createDataFrame([(10**6, "xq" * 4000, "en", "s", 1), (10**6 + 1, "the " * 5000, "en", "s", 1), (10**6 + 2, None, None, None, None), (10**6 + 3, "", "fr", "s", 0), (None, " \n ", "fr", "s", 0)], docs.schema)
-    got = {r.doc_id: r for r in P.perplexity_filter(docs.union(junk)).collect()}
-    assert not got[10**6].keep and not got[10**6 + 1].keep and not got[10**6 + 2].keep and got[10**6 + 3].perplexity is None
-    clean = [r for i, r in got.items() if i is not None and i < 10**6]
-    assert sum(r.keep for r in clean) > 0.95 * len(clean)
-    assert all((r.lower <= r.perplexity <= r.upper) == r.keep for r in clean)
-    assert P.perplexity_filter(docs.limit(0)).count() == 0
+def brute_bands(rows, clean, budget, widths, least_labels, short):
+    """keep by doc_id of rows (doc_id, lang, n, log perplexity), from sorted lists."""
+    quantile = lambda xs, p: sorted(xs)[max(0, math.ceil(p * len(xs)) - 1)]
+    z, band = {}, {}
+    for k in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == k and r[3] is not None]
+        if own:
+            mid = quantile([r[3] for r in own], 0.5)
+            mad = max(0.005, quantile([abs(r[3] - mid) for r in own], 0.5))
+            z |= {r[0]: (r[3] - mid) / (1.4826 * mad * math.sqrt(1 + short / r[2])) for r in own}
+    lang = {r[0]: r[1] for r in rows}
+    for k in {*lang.values(), None}:
+        zs = [z[i] for i in clean if i in z and (k is None or lang[i] == k)]
+        band[k] = (quantile(zs, budget / 2), quantile(zs, 1 - budget / 2)) if len(zs) >= least_labels else None
+    out = {}
+    for i, k in lang.items():
+        low, high = band[k] or band[None] or (-widths[0], widths[1])
+        out[i] = i in z and low <= z[i] <= high
+    return out
+
+
+def test_bands_equal_sorted_lists(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("mid", F.lit("x")).withColumn("z", F.lit(1))
+    odd = spark.createDataFrame([(10**6, "xq" * 4000, "en", "s", 1, "", 0), (10**6 + 1, "the " * 50000, "en", "s", 1, "", 0), (10**6 + 2, None, None, None, None, "", 0), (10**6 + 3, "", "fr", "s", 0, "", 0), (10**6 + 4, "a b c", None, "s", 0, "", 0)], docs.schema)
+    docs = docs.union(odd)
+    scores = [tuple(r) for r in P.scored_by_own(docs).collect()]
+    clean = [r.doc_id for r in labels.where("quality = 1").collect()]
+    for given, least_labels in ((labels.union(labels), 20), (labels, 10**6), (None, 1)):
+        want = brute_bands(scores, clean if given is not None else [], 0.1, (4.0, 2.0), least_labels, 400.0)
+        got = {r.doc_id: r.keep for r in P.perplexity_filter(docs, given, 0.1, (4.0, 2.0), least_labels).collect()}
+        assert got == want and not got[10**6] and not got[10**6 + 1] and not got[10**6 + 2] and not got[10**6 + 3]
+
+
+def test_junk_goes_and_clean_documents_stay(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = P.perplexity_filter(docs, labels).join(labels, "doc_id").collect()
+    junk, clean = ([r for r in rows if r.quality == q] for q in (0, 1))
+    assert sum(not r.keep for r in junk) > 0.6 * len(junk) and sum(not r.keep for r in clean) < 0.02 * len(clean)
+    assert sum(r.perplexity > r.upper for r in junk) > 0.2 * len(junk) and sum(r.perplexity < r.lower for r in junk) > 0.2 * len(junk)
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, "one text here", "en"), (1, "one text here", "en"), (None, " \n ", None)], "doc_id long, text string, lang string")
+    got = P.perplexity_filter(docs).collect()
+    assert len(got) == 3 and len({(r.doc_id, r.lang, r.n_symbols, r.perplexity, r.keep) for r in got}) == 2
+    assert P.perplexity_filter(docs.limit(0)).count() == 0 and P.perplexity_filter(docs.limit(0), docs.selectExpr("doc_id", "1 quality")).count() == 0
 
 
 def test_symbols():
-    s, n = P.symbols(["A  b9", None])
-    assert list(n) == [4, 0] and list(s[4:8]) == [97, 32, 98, 48]
+    s, n = P.symbols(["A  b9!!", None, "$$$aa"])
+    assert list(n) == [5, 0, 3] and list(s[4:9]) == [65, 32, 98, 48, 33] and list(s[-3:]) == [36, 97, 97]
