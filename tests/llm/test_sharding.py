@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -26,7 +27,6 @@ def test_equals_sql_and_fits(spark, limit):
 
 
 def test_only_oversized_buckets_split():
-    counts = {0: {}, }
     hashes = {5 << 16: (10, 2), 6 << 16: (10, 1), 9 << 24: (100, 3)}
 
     def sizes(level, under):
@@ -36,13 +36,14 @@ def test_only_oversized_buckets_split():
                 p = h >> (32 - S.LEVELS[level])
                 x = out.get(p, (0, 0))
                 out[p] = (x[0] + b, x[1] + n)
-        return out
-
-    assert counts is not None
-    leaves = S.directory(sizes, 25)
-    assert [x for x in leaves if x[2]] == sorted([x for x in leaves if x[2]], key=lambda x: x[1] << (32 - x[0]))
-    assert sum(2.0 ** -d for d, *_ in leaves) == 1.0
-    assert any(d == 32 and b == 100 for d, _, b, _ in leaves) and any(b == 20 for *_, b, n in leaves)
+        return tuple(np.array(x, np.int64) for x in ([*sorted(out)], [out[p][0] for p in sorted(out)], [out[p][1] for p in sorted(out)]))
+
+    leaves = [(int(d), int(p)) for d, p in zip(*S.directory(sizes, 25), strict=True)]
+    assert leaves == sorted(leaves, key=lambda x: x[1] << (32 - x[0]))
+    assert sum(2.0**-d for d, _ in leaves) == 1.0
+    held = {x: [h for h in hashes if h >> (32 - x[0]) == x[1]] for x in leaves}
+    assert (32, 9 << 24) in leaves  # three rows of the same bits can't be split
+    assert [5 << 16, 6 << 16] in held.values() and sum(map(len, held.values())) == 3
 
 
 def test_edges(spark):
