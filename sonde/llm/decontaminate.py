@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,25 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, words
+from .common import chunks, cut, free, lowered, words
 
 
 class Automaton:
     """Generalised suffix automaton of token sequences.
 
-    ``step[s]`` maps a token to the next state, ``link`` is the suffix link and ``size`` the longest string of a state.
-    ``need[s]`` is the least match length that counts when the match ends in state s, by the shortest item that
-    holds the state's strings.
+    ``link`` is the suffix link and ``size`` the longest string of a state; ``need[s]`` is the least match length that counts
+    when the match ends in state s, by the shortest item that holds the state's strings. Most states go on with one token
+    only: ``token`` and ``after`` have it and the next state, ``many`` the steps of the others; so a state takes some 40 bytes.
     """
 
     def __init__(self, items: list[list[int]], least: int, coverage: float, floor: int) -> None:
         self.step, self.link, self.size = [{}], [-1], [0]
-        shortest: list[int] = [1 << 30]
-        ends: list[int] = [0]
         for item in items:
             last = 0
             for t in item:
-                last = self._extend(last, t, ends)
+                last = self._extend(last, t)
         shortest = [1 << 30] * len(self.step)
         for item in items:
             s = 0
@@ -38,7 +37,12 @@ class Automaton:
                 while p > 0 and shortest[p] > len(item):
                     shortest[p] = len(item)
                     p = self.link[p]
-        self.need = [min(least, max(floor, math.ceil(coverage * n))) if n < 1 << 30 else least for n in shortest]
+        need = [min(least, max(floor, math.ceil(coverage * n))) if n < 1 << 30 else least for n in shortest]
+        one = [next(iter(x.items())) if len(x) == 1 else (-1, 0) for x in self.step]
+        self.token, self.after = array("q", [t for t, _ in one]), array("q", [s for _, s in one])
+        self.many = {s: x for s, x in enumerate(self.step) if len(x) > 1}
+        self.link, self.size, self.need = array("q", self.link), array("q", self.size), array("q", need)
+        del self.step
 
     def _new(self, step: dict, link: int, size: int) -> int:
         self.step.append(step)
@@ -46,7 +50,7 @@ class Automaton:
         self.size.append(size)
         return len(self.step) - 1
 
-    def _extend(self, last: int, t: int, ends: list[int]) -> int:
+    def _extend(self, last: int, t: int) -> int:
         if t in self.step[last]:
             q = self.step[last][t]
             return q if self.size[q] == self.size[last] + 1 else self._clone(last, t, q)
@@ -70,14 +74,16 @@ class Automaton:
 
     def spans(self, tokens: list[int]) -> list[tuple[int, int]]:
         """Merged [begin, end) token spans of all matches that are long enough where they end."""
-        step, link, size, need = self.step, self.link, self.size, self.need
+        token, after, many, link, size, need = self.token, self.after, self.many, self.link, self.size, self.need
         s = n = 0
         out: list[tuple[int, int]] = []
         for i, t in enumerate(tokens):
-            while s and t not in step[s]:
+            while True:
+                nxt = after[s] if token[s] == t else many[s].get(t) if s in many else None
+                if nxt is not None or not s:
+                    break
                 s = link[s]
                 n = size[s]
-            nxt = step[s].get(t)
             if nxt is None:
                 n = 0
                 continue
@@ -103,13 +109,14 @@ class Automaton:
 
 
 class Matcher:
-    """Automata over disjoint groups of items, each of at most ``group`` tokens, with their vocabulary."""
+    """Automata over disjoint groups of items, each of at most ``group`` tokens, with their vocabulary, and the items below ``floor`` words."""
 
     def __init__(self, items: list[str | None], least: int = 10, coverage: float = 0.6, floor: int = 6, group: int = 2_000_000) -> None:
         code, _, _, bounds, _ = words(items) if items else (np.zeros(0, np.uint64), None, None, np.zeros(1, np.int64), None)
         self.vocabulary, ids = np.unique(code, return_inverse=True)
-        seqs = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        seqs = sorted({tuple(s) for s in seqs if len(s) >= floor})
+        every = sorted({tuple(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a})
+        seqs = [s for s in every if len(s) >= floor]
+        self.short, self.floor = {s for s in every if len(s) < floor}, floor
         self.least = min([least, *(max(floor, math.ceil(coverage * len(s))) for s in seqs)])
         self.automata, part, size = [], [], 0
         for s in seqs:
@@ -121,108 +128,177 @@ class Matcher:
         if part:
             self.automata.append(Automaton(part, least, coverage, floor))
 
-    def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, begin byte, end byte, words in the span, words of the text) of every span, in order."""
+    def find(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, int, int]], int]]:
+        """(text, spans as (begin word, end word, begin byte, end byte) in order, words of the text) of every text that has one."""
         for lo, hi in chunks(texts):
             code, start, end, bounds, base = words(texts[lo:hi])
-            if not len(code) or not self.automata:
+            if not len(code) or not len(self.vocabulary):
                 continue
             at = np.minimum(np.searchsorted(self.vocabulary, code), len(self.vocabulary) - 1)
             known = self.vocabulary[at] == code
-            # a match lies within a run of words that occur in items; shorter runs than the least match can't hold one
-            inner = np.zeros(len(code), bool)
-            inner[bounds[:-1][bounds[:-1] < len(code)]] = True
-            new = np.append(True, (known[1:] != known[:-1]) | inner[1:])
-            begin = np.flatnonzero(new)
-            stop = np.append(begin[1:], len(code))
-            take = known[begin] & (stop - begin >= self.least)
-            doc = np.searchsorted(bounds, begin[take], side="right") - 1
-            for d, b, e in zip(doc.tolist(), begin[take].tolist(), stop[take].tolist(), strict=True):
-                run = at[b:e].tolist()
-                found = sorted(x for a in self.automata for x in a.spans(run))
-                merged: list[list[int]] = []
-                for x, y in found:
-                    if merged and x <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], y)
-                    else:
-                        merged.append([x, y])
-                for x, y in merged:
-                    yield lo + d, int(start[b + x] - base[d]), int(end[b + y - 1] - base[d]), y - x, int(bounds[d + 1] - bounds[d])
-
-
-def matcher(benchmark: DataFrame, text: str = "text", most_mb: int = 256, **limits) -> Matcher:
-    """The automata of a benchmark table, built on the driver after a check of the table's size."""
-    size = benchmark.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    if size > most_mb << 20:
-        raise ValueError(f"{size} bytes of test items; pass them in parts of at most {most_mb} MB, each over the previous result")
-    return Matcher([r[0] for r in benchmark.select(F.col(text).cast("string")).distinct().collect()], **limits)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+            found: dict[int, list[tuple[int, int]]] = {}
+            if self.automata:
+                # a match lies within a run of words that occur in items; shorter runs than the least match can't hold one
+                inner = np.zeros(len(code), bool)
+                inner[bounds[:-1][bounds[:-1] < len(code)]] = True
+                new = np.append(True, (known[1:] != known[:-1]) | inner[1:])
+                begin = np.flatnonzero(new)
+                stop = np.append(begin[1:], len(code))
+                take = known[begin] & (stop - begin >= self.least)
+                doc = np.searchsorted(bounds, begin[take], side="right") - 1
+                for d, b, e in zip(doc.tolist(), begin[take].tolist(), stop[take].tolist(), strict=True):
+                    run = at[b:e].tolist()
+                    if hits := [(b + x, b + y) for a in self.automata for x, y in a.spans(run)]:
+                        found.setdefault(d, []).extend(hits)
+            if self.short:
+                for d, b, e in self._short_lines(texts[lo:hi], at, known, start - base[np.searchsorted(bounds, np.arange(len(code)), side="right") - 1], bounds):
+                    found.setdefault(d, []).append((b, e))
+            for d in sorted(found):
+                spans = [(x - bounds[d], y - bounds[d], start[x] - base[d], end[y - 1] - base[d]) for x, y in found[d]]
+                yield lo + d, merged([tuple(map(int, s)) for s in spans]), int(bounds[d + 1] - bounds[d])
+
+    def _short_lines(self, texts: list[str | None], at: np.ndarray, known: np.ndarray, offset: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, begin word, end word) of the lines that have exactly the words of an item below ``floor`` words."""
+        for d, t in enumerate(texts):
+            b, e = int(bounds[d]), int(bounds[d + 1])
+            if b == e:
+                continue
+            ends = np.flatnonzero(np.frombuffer(lowered(t), np.uint8) == 10)
+            line = np.searchsorted(ends, offset[b:e])
+            first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            size = np.diff(np.append(first, e - b))
+            for x, n in zip(first[size < self.floor].tolist(), size[size < self.floor].tolist(), strict=True):
+                if known[b + x : b + x + n].all() and tuple(at[b + x : b + x + n].tolist()) in self.short:
+                    yield d, b + x, b + x + n
+
+
+def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans (begin word, end word, begin byte, end byte) in order, those that meet or overlap as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for s in sorted(spans):
+        if out and s[0] <= out[-1][1]:
+            b = out[-1]
+            out[-1] = (b[0], max(b[1], s[1]), b[2], max(b[3], s[3]))
+        else:
+            out.append(s)
+    return out
+
+
+_SPANS = "struct<total:long,at:array<struct<w0:long,w1:long,b0:long,b1:long>>>"
+
+
+def _finder(docs: DataFrame, benchmark: DataFrame, text: str, item: str, part_mb: float, limits: dict) -> tuple[DataFrame, object]:
+    """``docs`` and a function from their batches to what :meth:`Matcher.find` gives for ``text``, over all test items.
+
+    Items of up to ``part_mb`` MB make one matcher, which goes out to all tasks. More are dealt by their hash to parts of about that
+    size; each part's matcher passes over the different texts, spans are gathered by the MD5 of the text, and ``docs`` gets
+    them in its last column.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item).cast("string").alias("item")).where("item is not null")
+    size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    parts = max(1, math.ceil(size / (part_mb * (1 << 20))))
+    sent = lambda rows: spark.sparkContext.broadcast(Matcher([r[0] for r in rows.distinct().collect()], **limits))
+    if parts == 1:
+        m, at = sent(items), docs.columns.index(text)
+        return docs, lambda b: m.value.find(b.column(at).to_pylist())
+    key, spans = free(docs, "text_md5"), free(docs, "item_spans")
+    docs = docs.withColumn(key, F.md5(F.col(text).cast("string").cast("binary")))
+    each = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).dropDuplicates(["key"])
+    all_ = None
+    for k in range(parts):
+        m = sent(items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k))
+
+        def run(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(d, n, s) for d, found, n in m.value.find(b.column(1).to_pylist()) for s in found]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[2][i] for r in rows], pa.int64()) for i in range(4))], ["key", "total", "w0", "w1", "b0", "b1"])
+
+        one = cut(each.mapInArrow(run, "key string, total long, w0 long, w1 long, b0 long, b1 long"))
+        all_ = one if all_ is None else all_.union(one)
+    found = cut(all_.groupBy("key").agg(F.struct(F.first("total").alias("total"), F.collect_set(F.struct("w0", "w1", "b0", "b1")).alias("at")).alias(spans)))
+    docs = docs.join(found.withColumnRenamed("key", key), key, "left").drop(key)
+    last = len(docs.columns) - 1
+
+    def known(b: pa.RecordBatch) -> Iterator[tuple[int, list, int]]:
+        for d, x in enumerate(b.column(last).to_pylist()):
+            if x is not None:
+                yield d, merged([(s["w0"], s["w1"], s["b0"], s["b1"]) for s in x["at"]]), x["total"]
+
+    return docs, known
+
+
+#: MB of test items in one matcher: about a million words, of which the automaton takes some 100 MB in each Python worker.
+PART_MB = 6
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "text", part_mb: float = PART_MB, **limits) -> DataFrame:
     """(doc_id, n_spans, longest, removed_words, coverage, spans) of every document that holds a passage of a test item.
 
     A span is a run of words (lower-cased, without punctuation) that occurs in an item and is at least ``least``
-    words long, or at least ``coverage`` of an item that holds it, but never fewer than ``floor`` words.
+    words long, or at least ``coverage`` of an item that holds it, but never fewer than ``floor`` words. Items of fewer words than
+    ``floor`` are too common within sentences: they are spans where they are all the words of a line.
     longest counts the words of the longest (merged) span; coverage is the removed share of the document's words;
     spans lists UTF-8 byte ranges. Null, empty and clean texts give no row, repeated rows give one each, and other
-    columns are ignored. Items that are null or shorter than ``floor`` words are left out; no items: no rows.
+    columns are ignored. Items that are null or have no word are passed over; no items: no rows. Items of more than ``part_mb`` MB
+    go in parts, with the same result.
     """
-    m = docs.sparkSession.sparkContext.broadcast(matcher(benchmark, **limits))
+    rows, find = _finder(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), benchmark, "text", item, part_mb, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[int, list] = {}
-            for d, x, y, n, total in m.value.find(b.column(1).to_pylist()):
-                rows.setdefault(d, []).append((x, y, n, total))
-            at = list(rows)
+            found = list(find(b))
+            sizes = [[w1 - w0 for w0, w1, _, _ in spans] for _, spans, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).take(pa.array(at, pa.int64())),
-                    pa.array([len(r) for r in rows.values()], pa.int32()),
-                    pa.array([max(x[2] for x in r) for r in rows.values()], pa.int32()),
-                    pa.array([sum(x[2] for x in r) for r in rows.values()], pa.int32()),
-                    pa.array([sum(x[2] for x in r) / r[0][3] for r in rows.values()], pa.float64()),
-                    pa.array([[{"begin": x[0], "end": x[1]} for x in r] for r in rows.values()], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
+                    b.column(0).take(pa.array([d for d, _, _ in found], pa.int64())),
+                    pa.array([len(n) for n in sizes], pa.int32()),
+                    pa.array([max(n) for n in sizes], pa.int32()),
+                    pa.array([sum(n) for n in sizes], pa.int32()),
+                    pa.array([sum(n) / total for n, (_, _, total) in zip(sizes, found, strict=True)], pa.float64()),
+                    pa.array([[{"begin": x, "end": y} for _, _, x, y in spans] for _, spans, _ in found], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
                 ],
                 ["doc_id", "n_spans", "longest", "removed_words", "coverage", "spans"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, n_spans int, longest int, removed_words int, coverage double, spans array<struct<begin:int,end:int>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_spans int, longest int, removed_words int, coverage double, spans array<struct<begin:int,end:int>>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = None, drop_above: float = 0.8, **limits) -> DataFrame:
-    """``docs`` without the benchmark passages in ``text``; the columns stay, in one pass without a shuffle.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = None, drop_above: float = 0.8, item: str = "text", part_mb: float = PART_MB, **limits) -> DataFrame:
+    """``docs`` without the benchmark passages in ``text``; the columns stay, in one pass without a shuffle while the items fit one part.
 
     Spans are those of :func:`contamination`; each is cut out with the white space after it. Documents of which more
     than ``drop_above`` of the words are benchmark go altogether. A column ``chars`` gets the new length. Null and
     empty texts, and rows without a passage, stay as they are.
     """
-    m = docs.sparkSession.sparkContext.broadcast(matcher(benchmark, **limits))
     at = docs.columns.index(text)
     size = docs.columns.index(chars) if chars else None
+    names, schema = docs.columns, docs.schema
+    rows, find = _finder(docs, benchmark, text, item, part_mb, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            rows: dict[int, list] = {}
-            for d, x, y, n, total in m.value.find(texts):
-                rows.setdefault(d, []).append((x, y, n, total))
-            if not rows:
+            found = list(find(b))
+            b = pa.RecordBatch.from_arrays(b.columns[: len(names)], schema=pa.schema([b.schema.field(i) for i in range(len(names))]))
+            if not found:
                 yield b
                 continue
-            keep = np.ones(len(texts), bool)
-            for d, spans in rows.items():
-                keep[d] = sum(s[2] for s in spans) <= drop_above * spans[0][3]
-                texts[d] = remove(texts[d], [(x, y) for x, y, _, _ in spans])
+            texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
+            for d, spans, total in found:
+                keep[d] = sum(w1 - w0 for w0, w1, _, _ in spans) <= drop_above * total
+                texts[d] = remove(texts[d], [(x, y) for _, _, x, y in spans])
             cols = list(b.columns)
             cols[at] = pa.array(texts, b.schema.field(at).type)
             if size is not None:
-                old = cols[size].to_pylist()
-                cols[size] = pa.array([len(texts[i]) if i in rows else n for i, n in enumerate(old)], b.schema.field(size).type)
+                n = cols[size].to_pylist()
+                for d, _, _ in found:
+                    n[d] = len(texts[d])
+                cols[size] = pa.array(n, b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, schema)
 
 
 def remove(text: str, spans: list[tuple[int, int]]) -> str:

@@ -20,6 +20,12 @@ def brute(text, items, least, coverage, floor):
         for i in range(len(w) - need + 1):
             if tuple(w[i : i + need]) in grams:
                 hit[i : i + need] = [True] * need
+    at, short = 0, [words(i) for i in items if 0 < len(words(i)) < floor]
+    for line in text.split("\n"):
+        n = len(words(line))
+        if words(line) in short:
+            hit[at : at + n] = [True] * n
+        at += n
     return hit
 
 
@@ -34,11 +40,12 @@ def test_matches_equal_brute_force():
     rng, vocab = random.Random(2), "a bc de fg hi jk l".split()
     for _ in range(150):
         items = [" ".join(rng.choices(vocab, k=rng.randrange(2, 16))) for _ in range(4)]
-        texts = [" ".join(rng.choices([*vocab, "zz"], k=rng.randrange(0, 40))) for _ in range(5)] + [f"x {rng.choice(items)} y"]
+        texts = [" ".join(rng.choices([*vocab, "zz"], k=rng.randrange(0, 40))) for _ in range(5)] + [f"x {rng.choice(items)} y", f"x\n{rng.choice(items)}\ny {items[0]}", "\n".join(items)]
         m = D.Matcher(items, least=6, coverage=0.6, floor=4)
         got = {}
-        for d, x, y, _, _ in m.find(texts):
-            got.setdefault(d, []).append((x, y))
+        for d, spans, total in m.find(texts):
+            got[d] = [(x, y) for _, _, x, y in spans]
+            assert total == len(words(texts[d]))
         for d, t in enumerate(texts):
             assert covered(t, got.get(d, [])) == brute(t, items, 6, 0.6, 4), (items, t)
 
@@ -80,4 +87,20 @@ def test_decontaminate(spark):
 def test_a_long_text(spark):
     m = D.Matcher([BENCH[0]])
     t = "filler words " * 200000 + BENCH[0]
-    assert [(d, n) for d, _, _, n, _ in m.find(["x", t])] == [(1, 12)]
+    assert [(d, [w1 - w0 for w0, w1, _, _ in spans]) for d, spans, _ in m.find(["x", t])] == [(1, [12])]
+
+
+def test_items_in_parts_give_the_same(spark):
+    docs, bench = frames(spark)
+    docs = docs.union(docs.where("doc_id = 1"))
+    for f in (D.contamination, D.decontaminate):
+        whole, parts = (sorted(map(str, f(docs, bench, part_mb=mb).collect())) for mb in (6, 40 / (1 << 20)))
+        assert whole == parts and whole
+        assert f(docs.limit(0), bench, part_mb=1e-6).count() == 0
+
+
+def test_short_items_are_whole_lines(spark):
+    _, bench = frames(spark)
+    docs = spark.createDataFrame([(1, "It is too short to say.\nToo short!\nmore"), (2, "this is too short")], "doc_id long, text string")
+    assert [(r.doc_id, r.removed_words) for r in D.contamination(docs, bench).collect()] == [(1, 2)]
+    assert {r.doc_id: r.text for r in D.decontaminate(docs, bench).collect()} == {1: "It is too short to say.\n!\nmore", 2: "this is too short"}

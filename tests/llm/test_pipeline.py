@@ -21,9 +21,7 @@ def test_run_equals_brute_force(spark, sf_dir):
     rows = [r for r in rows if r[0] not in gone]
 
     m = Matcher([r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
-    hits = {}
-    for d, x, y, n, total in m.find([r[1] for r in rows]):
-        hits.setdefault(d, []).append((x, y, n, total))
+    hits = {d: [(x, y, w1 - w0, total) for w0, w1, x, y in spans] for d, spans, total in m.find([r[1] for r in rows])}
     kept = []
     for d, (i, t, lang, s, n) in enumerate(rows):
         if d in hits:
