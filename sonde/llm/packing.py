@@ -16,7 +16,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LOADED: dict = {}
 
-SCHEMA = "part int, pack long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, doc_offsets array<int>"
+SCHEMA = "part int, pack long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, doc_offsets array<int>"
 
 
 def encoding(path: str):
@@ -93,12 +93,12 @@ def pack(docs: DataFrame, size: int = 2048, group_tokens: int = 4_000_000, token
 
     Each task packs its own input in groups of about ``group_tokens`` tokens, best fit decreasing, without a shuffle;
     ``part`` is the task's number, ``pack`` counts its rows. Which documents share a row depends on how the input is split;
-    the tokens don't. Null and empty texts have no tokens and no segment. Repeated rows and null ids are packed like others;
-    other columns are ignored. An empty table gives no rows.
+    the tokens don't. Null and empty texts have no tokens and no segment. Repeated rows and null ids are packed like others; ids may be
+    of any type; ``tokenizer`` is a file that driver and executors find under the same path. Other columns are ignored. An empty table gives no rows.
     """
     kind = "<u2" if max(pad, size) < 1 << 16 else "<u4"
 
-    def rows(items: list[tuple], part: int, first: int) -> pa.RecordBatch:
+    def rows(items: list[tuple], part: int, first: int, id_type: pa.DataType) -> pa.RecordBatch:
         bins = best_fit([len(t) for _, _, t in items], size)
         ids = np.full((len(bins), size), pad, kind)
         pos = np.zeros((len(bins), size), kind)
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, size: int = 2048, group_tokens: int = 4_000_000, token
             who.append([items[i][0] for i in b])
             offsets.append([items[i][1] for i in b])
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(bins), part, np.int32)), pa.array(np.arange(first, first + len(bins))), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in pos], pa.binary()), pa.array(cu, pa.list_(pa.int32())), pa.array(who, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int32()))],
+            [pa.array(np.full(len(bins), part, np.int32)), pa.array(np.arange(first, first + len(bins))), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in pos], pa.binary()), pa.array(cu, pa.list_(pa.int32())), pa.array(who, pa.list_(id_type)), pa.array(offsets, pa.list_(pa.int32()))],
             ["part", "pack", "ids", "positions", "cu_seqlens", "doc_ids", "doc_offsets"],
         )
 
@@ -125,7 +125,9 @@ def pack(docs: DataFrame, size: int = 2048, group_tokens: int = 4_000_000, token
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         enc, items, held, first = encoding(tokenizer), [], 0, 0
+        id_type = pa.int64()
         for b in batches:
+            id_type = b.schema.field(0).type
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not t:
                     continue
@@ -133,13 +135,13 @@ def pack(docs: DataFrame, size: int = 2048, group_tokens: int = 4_000_000, token
                 items += [(d, o, tokens[o : o + size]) for o in range(0, len(tokens), size)]
                 held += len(tokens)
                 if held >= group_tokens:
-                    out = rows(items, part, first)
+                    out = rows(items, part, first, id_type)
                     first, items, held = first + out.num_rows, [], 0
                     yield from _slices(out)
         if items:
-            yield from _slices(rows(items, part, first))
+            yield from _slices(rows(items, part, first, id_type))
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, SCHEMA.format(kind=docs.schema[doc_id].dataType.simpleString()))
 
 
 def _slices(b: pa.RecordBatch, n: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -164,9 +166,9 @@ def unpack(packed: DataFrame, dtype: str = "<u2") -> DataFrame:
                     who.append(d)
                     off.append(o)
                     tok.append(row[cu[j] : cu[j + 1]].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(off, pa.int32()), pa.array(tok, pa.list_(pa.int32()))], ["doc_id", "offset", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(who, b.schema.field("doc_ids").type.value_type), pa.array(off, pa.int32()), pa.array(tok, pa.list_(pa.int32()))], ["doc_id", "offset", "tokens"])
 
-    return packed.mapInArrow(run, "doc_id long, offset int, tokens array<int>")
+    return packed.mapInArrow(run, f"doc_id {packed.schema['doc_ids'].dataType.elementType.simpleString()}, offset int, tokens array<int>")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

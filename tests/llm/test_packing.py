@@ -62,6 +62,11 @@ def test_long_text_is_whole(spark):
     assert P.encoding(P.TOKENIZER).decode([t for _, ts in got for t in ts]) == "abc déf " * 40000
 
 
+def test_string_ids(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "doc_id string, text string")
+    assert sorted((r.doc_id or "", len(r.tokens) > 0) for r in P.unpack(P.pack(df)).collect()) == [("", True), ("a", True)]
+
+
 def test_empty_and_sink(spark, tmp_path):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, ids string")
     assert P.pack(df.limit(0)).count() == 0
