@@ -186,14 +186,15 @@ def train(samples: list[tuple[str, str]], hidden: int = 8, steps: int = 400, bat
 
 
 def labelled_sample(docs: DataFrame, per_lang: int, doc_id: str, text: str, lang: str, chars: int) -> list[tuple[str, str]]:
-    """At most about ``per_lang`` labelled texts of each language, chosen by the hash of the id; at most ``chars`` of each."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    """At most about ``per_lang`` labelled texts of each language, chosen by the hash of the id; of each at most ``chars`` characters from any place."""
+    counts = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
     if not counts:
         return []
     room = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_lang / n))))
     unit = F.pmod(F.xxhash64(F.col(doc_id), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    picked = known.where(unit < room[F.col(lang)]).select(F.substring(text, 1, chars), F.col(lang), unit.alias("u")).collect()
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
+    place = 1 + F.pmod(F.xxhash64(F.col(doc_id), F.lit(13)), F.greatest(F.length(text) - chars + 1, F.lit(1))).cast("int")
+    picked = known.where(unit < room[F.col(lang)]).select(F.substring(F.col(text), place, F.lit(chars)), F.col(lang), unit.alias("u")).collect()
     out: list[tuple[str, str]] = []
     taken = dict.fromkeys(counts, 0)
     for t, k, _ in sorted(picked, key=lambda r: (r[2], r[1], r[0])):
@@ -204,7 +205,7 @@ def labelled_sample(docs: DataFrame, per_lang: int, doc_id: str, text: str, lang
 
 
 def fit(docs: DataFrame, per_lang: int = 300, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", chars: int = 4000, **how) -> Network | None:
-    """A network trained on a bounded sample (``per_lang`` texts a language, ``chars`` characters each) of labelled rows."""
+    """A network trained on a bounded sample (``per_lang`` texts a language, of each ``chars`` characters in a row from a place drawn over all of it) of labelled rows."""
     sample = labelled_sample(docs, per_lang, doc_id, text, lang, chars)
     return train(sample, **how) if sample else None
 

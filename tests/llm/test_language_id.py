@@ -68,6 +68,15 @@ def test_edges(spark, net):
     assert L.identify(empty).count() == 0 and L.keep_identified(empty).columns == df.columns
 
 
+def test_samples_come_from_all_of_a_text(spark):
+    text = "".join(f"{i:06}" for i in range(20_000))
+    df = spark.createDataFrame([(i, text, "aa") for i in range(40)] + [(99, "short", "bb"), (100, None, "bb")], "doc_id long, text string, lang string")
+    got = L.labelled_sample(df, 40, "doc_id", "text", "lang", 100)
+    places = [text.index(t) for t, k in got if k == "aa"]
+    assert len(places) == 40 and all(len(t) == 100 for t, k in got if k == "aa") and max(places) > 90_000 and min(places) < 30_000
+    assert ("short", "bb") in got
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in L.identify(df).collect()] == [(1, None, 0.0, False)]
