@@ -49,6 +49,7 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, f0..f3): one row for each id, of the texts that have a word. Map-only up to the final reduction by id."""
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,8 +58,8 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             ids = b.column(0).filter(pa.array(has))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(f[has, j]) for j in range(LANES))], ["doc_id", *FP])
 
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fps = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in FP))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    fps = rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in FP))
     return fps.groupBy("doc_id").agg(F.min(F.struct(*FP)).alias("f")).select("doc_id", *(F.col(f"f.{c}").alias(c) for c in FP))
 
 
@@ -210,35 +211,48 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def in_blocks(big: DataFrame, cap: int) -> DataFrame:
+    """Members of oversized buckets in blocks of about ``cap``, each block once with every other: all pairs still share a key, none of more than twice ``cap``."""
+    k = F.ceil(F.col("n") / cap)
+    own = F.pmod(F.xxhash64("doc_id", "key"), k)
+    x = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+    return x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id", *FP, "path")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 48, tables: int = 50, bits: int = 14, cap: int = 1024, rate: float | None = None, levels: int = 3) -> DataFrame:
     """(doc_id, keep_id) for every document that is a near copy of one that stays; keep_id is the least id of the group.
 
     Two texts are near when their 256-bit SimHashes (distinct lower-cased words) differ in at most ``most`` bits;
     groups are the connected components. Texts of one fingerprint are first taken together. The others are put
     in ``tables`` tables by ``bits`` sampled coordinates; buckets of more than ``cap`` fingerprints get additional
-    bits, ``levels`` times at most, and what is oversized even then is compared in full. No pair of a bucket is left out.
+    bits, ``levels`` times at most, and what is oversized even then, as thousands of near copies are, is compared in full, block
+    by block (:func:`in_blocks`). No pair of a bucket is left out, and no task holds a whole bucket.
     With the defaults a pair at ``most`` bits is met with a chance of 0.92, one at 36 bits with 0.99; where all its
     buckets are split once, with 0.9 and 0.99. Splits are made for pairs at ``rate`` differing bits, ``most`` unless given.
 
-    Rows of a null id, and texts that are null, empty or without a word, are in no group. Rows that share an id are one
-    document (the least fingerprint counts). Case, punctuation and repeated words make no difference. Other columns are
+    Ids may be of any type that has an order. Rows of a null id, and texts that are null, empty or without a word, are in no group. Rows
+    that share an id are one document (the least fingerprint counts). Case, punctuation and repeated words make no difference. Other columns are
     ignored. An empty table gives no rows.
     """
     fp = cut(fingerprint_table(docs, doc_id, text))
-    reps = cut(fp.groupBy(*FP).agg(F.min("doc_id").alias("doc_id")))
-    now, done = buckets(reps, tables, bits), None
+    # the number of a fingerprint is settled by the checkpoint
+    reps = cut(fp.groupBy(*FP).agg(F.min("doc_id").alias("least")).withColumn("doc_id", F.monotonically_increasing_id()))
+    now, done = buckets(reps.select("doc_id", *FP), tables, bits), None
     rate = most / (BITS - bits) if rate is None else rate
-    for _ in range(levels):
+    for level in range(levels + 1):
         big = cut(now.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap))
         if big.isEmpty():
             break
         fits = small_join(now, big.select("key"), ["key"], "left_anti").select(*now.columns)
         done = fits if done is None else done.union(fits)
-        now = split(small_join(now, big, ["key"], "inner").select(*now.columns, "n"), tables, bits, cap, rate)
+        rest = small_join(now, big, ["key"], "inner").select(*now.columns, "n")
+        now = split(rest, tables, bits, cap, rate) if level < levels else in_blocks(rest, cap)
     roots = components(links(now if done is None else done.union(now), most))
-    same = fp.join(reps.withColumnRenamed("doc_id", "rep"), FP).select("doc_id", "rep")
-    found = same.join(roots.select(F.col("doc_id").alias("rep"), "root"), "rep", "left")
-    return found.select("doc_id", F.coalesce("root", "rep").alias("keep_id")).where("doc_id <> keep_id")
+    grouped = cut(small_join(reps, roots, ["doc_id"], "left").withColumn("root", F.coalesce("root", "doc_id")))
+    others = grouped.where("root <> doc_id").select("root").distinct()
+    keep = cut(grouped.join(others, "root", "left_semi").groupBy("root").agg(F.min("least").alias("keep_id")))
+    found = fp.join(small_join(grouped, keep, ["root"], "left").select(*FP, F.coalesce("keep_id", "least").alias("keep_id")), FP)
+    return found.select("doc_id", "keep_id").where("doc_id <> keep_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -246,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that share a non-null id are one document: one of them stays, the least by text. Rows of a null id stay.
     """
-    key, name, n = F.col(doc_id).cast("long"), free(docs, "gone_id"), free(docs, "nth")
+    key, name, n = F.col(doc_id), free(docs, "gone_id"), free(docs, "nth")
     gone = cut(near_duplicates(docs, doc_id, text, **how).select(F.col("doc_id").alias(name)))
     kept = small_join(docs.withColumn(name, key), gone, [name], "left_anti")
     again = cut(docs.groupBy(key.alias(name)).agg(F.count("*").alias(n)).where(F.col(n) > 1).where(F.col(name).isNotNull()).select(name))

@@ -65,6 +65,20 @@ def test_oversized_buckets_are_split_and_still_found(spark, corpus):
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
 
 
+def test_what_stays_oversized_is_compared_in_blocks(spark, corpus):
+    """No further bits at all: then blocks alone must find what the buckets hold."""
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    whole, blocks = (groups(N.near_duplicates(df, bits=4, **how)) for how in ({}, {"cap": 4, "levels": 0}))
+    assert whole == blocks and whole
+
+
+def test_string_ids(spark, corpus):
+    df = spark.createDataFrame([(f"k{i:04}", t) for i, t in corpus], "doc_id string, text string")
+    want = groups(N.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string")))
+    assert groups(N.near_duplicates(df)) == {f"k{i:04}": f"k{j:04}" for i, j in want.items()}
+    assert N.drop_near_duplicates(df).count() == len(corpus) - len(want)
+
+
 def test_pairs_meet_at_each_distance_though_all_buckets_are_split(spark):
     """Pairs at 36 and 48 bits, every bucket taken for one of 8 and of 256 times the cap."""
     rng, how = np.random.default_rng(5), {k: p.default for k, p in inspect.signature(N.near_duplicates).parameters.items()}
