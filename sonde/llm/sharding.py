@@ -96,6 +96,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "shard_id", "shard_depth", "n_bytes")
 
 
+def in_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 with shards of 64 kB, so that even the smallest tables split many times."""
+    return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 64 << 10).select("doc_id", "shard_id", "shard_depth", "n_bytes")
+
+
 def op6_sql(limit: int = 64 << 20) -> str:
     return f"""
 WITH keyed AS (
