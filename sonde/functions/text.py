@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UP, LOW, DIGIT = "[A-Z]", "[a-z]", "[0-9]"
-LETTER, ALNUM, INNER = "[A-Za-z]", "[0-9A-Za-z]", "[0-9A-Z_a-z]"
-IDENTIFIER = f"[A-Z_a-z]{INNER}*"
+LETTER, ALNUM, INNER = "[A-Za-z]", "[A-Za-z0-9]", "[A-Za-z0-9_]"
+IDENTIFIER = f"[A-Za-z_]{INNER}*"
 
 
 def _between(left: str, right: str) -> str:
@@ -39,8 +39,8 @@ EXTENSIONS = {
     }.items()
     for ext in exts.split()
 }
-STOPWORDS = frozenset("with why who which where when what was to the or on of not it is in if how have has from for does do by be at as are and an a".split())
-DEFINERS = "|".join(sorted("typedef record protocol namespace package fun fn function func type trait enum struct interface def defmodule module class object".split(), key=lambda w: (-len(w), w))) + "|data class|abstract class"
+STOPWORDS = frozenset("a an and are as at be by do does for from has have how if in is it not of on or the to was what when where which who why with".split())
+DEFINERS = "|".join(sorted("class def defmodule enum fn fun func function interface module namespace object package protocol record struct trait type typedef".split(), key=lambda w: (-len(w), w))) + "|data class|abstract class"
 SQL_DEFINERS = "CREATE (?:FUNCTION|PROCEDURE|TABLE|VIEW)"
 #: White space as the definition pattern understands it: ASCII, no-break and the other Unicode blanks.
 SPACE = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
@@ -70,6 +70,24 @@ def tokenize(c: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(IDENTIFIER), F.lit(0)), split_identifier))
 
 
+def tokens_of(text: str) -> list[str]:
+    """:func:`tokenize` of one query on the driver, where its terms go into pushed-down filters."""
+    out: list[str] = []
+    for word in re.findall(IDENTIFIER, text):
+        parts = [p for p in word.split("_") if p] if "_" in word else re.findall(_CAMEL, word)
+        out += [word.lower(), *(p.lower() for p in parts)] if len(parts) > 1 else [word.lower()]
+    return out
+
+
+def any_of(c: Column, values: list) -> Column:
+    """``c`` is one of ``values``, ten at a time: so many an IN filter may have to be pushed to the reader value by value."""
+    out = F.lit(False)
+    for i in range(0, len(values), 10):
+        part = c.isin(values[i : i + 10])
+        out = part if i == 0 else out | part
+    return out
+
+
 def slashes(path: Column) -> Column:
     """Backslashes as slashes."""
     return F.translate(path, "\\", "/")
@@ -282,4 +300,4 @@ def end_line(source: Column, end: Column) -> Column:
 
 def is_definition(node_type: Column) -> Column:
     """P9."""
-    return F.rlike(node_type, F.lit("definition|declaration|constructor|method|function|class"))
+    return F.rlike(node_type, F.lit("class|constructor|declaration|definition|function|method"))

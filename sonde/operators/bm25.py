@@ -7,6 +7,7 @@ query's few terms to the postings, so only matching postings are read, and ranks
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,12 @@ class Bm25:
         if not 0 <= self.b <= 1:
             raise ValueError("b must be from 0 to 1")
 
+    @cached_property
+    def numbers(self) -> tuple[int, float]:
+        """n_docs and avg_len, read once."""
+        row = self.corpus.first()
+        return row["n_docs"], row["avg_len"]
+
 
 def token_table(chunks: DataFrame) -> DataFrame:
     """(chunk_idx, tokens) of the enriched text."""
@@ -76,6 +83,30 @@ def score(index: Bm25, queries: DataFrame, only: DataFrame | None = None, few: b
     return hits.groupBy("query_id", "chunk_idx").agg(F.round(F.sum(part), PLACES).alias("score"))
 
 
+def top(index: Bm25, terms: list[str], k: int, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_idx, score, rank): the best ``k`` chunks for the terms of one query, which the driver knows.
+
+    Terms and their frequencies become literals, so that both statistics tables are read under a pushed filter and nothing is joined.
+    """
+    wanted = sorted(set(terms))
+    known = {r["term"]: r["df"] for r in index.terms.where(T.any_of(F.col("term"), wanted)).collect()} if wanted else {}
+    if not known:
+        return index.postings.where(F.lit(False)).select("chunk_idx", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    n, avg = index.numbers
+    postings = index.postings if only is None else index.postings.join(only, "chunk_idx", "left_semi")
+    df = F.create_map(*(F.lit(x) for t, d in known.items() for x in (t, d)))[F.col("term")]
+    part = weight(index, F.col("tf"), df, F.col("doc_len"), F.lit(n), F.lit(avg))
+    scores = postings.where(T.any_of(F.col("term"), sorted(known))).groupBy("chunk_idx").agg(F.round(F.sum(part), PLACES).alias("score"))
+    return best(scores, k)
+
+
+def best(scores: DataFrame, k: int) -> DataFrame:
+    """(chunk_idx, score, rank): the best ``k`` of one query by (score, chunk_idx); only they reach the ranking window."""
+    order = [F.desc("score"), F.col("chunk_idx")]
+    rows = scores.select("chunk_idx", "score").orderBy(*order).limit(k)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, term) of query texts."""
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.tokenize(F.col(text)))).alias("term"))

@@ -88,25 +88,29 @@ def tier(content: Column, path: Column, names: list[str]) -> Column:
     return F.when(T.defines(content, names), F.when(named, F.lit(1.5)).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def _define_boost(c: DataFrame, chunks: DataFrame, names: list[str], unit: float, near: Column) -> DataFrame:
-    """Candidates gain their tier; other chunks of files that ``near`` (over ``stem``) accepts enter with it.
+def _define_boost(c: DataFrame, chunks: DataFrame, names: list[str], unit: float, near: Column, promote: DataFrame) -> DataFrame:
+    """Candidates gain their tier; other chunks of ``promote`` in files that ``near`` (over ``stem``) accepts enter with it.
 
     Candidates and defining chunks are put together and told apart by a window over the key, so that the plan has the
     candidates once.
     """
     text = chunks.select("chunk_idx", F.col("content").alias("__text"))
     own = text.join(F.broadcast(c), "chunk_idx").withColumn("tier", tier(F.col("__text"), F.col("file_path"), names)).drop("__text")
-    stemmed = chunks.withColumn("stem", F.lower(T.path_stem(F.col("file_path")))).where(near)
+    stemmed = promote.withColumn("stem", F.lower(T.path_stem(F.col("file_path")))).where(near)
     found = stemmed.select(*KEY, "chunk_idx", tier(F.col("content"), F.col("file_path"), names).alias("tier")).where("tier > 0")
     last = F.lit(1 << 30)
     fresh = found.select(*KEY, "chunk_idx", F.lit(0.0).alias("s"), last.alias("den_rank"), last.alias("lex_rank"), F.lit(None).cast("double").alias("top"), F.lit(1).alias("promoted"), "tier")
     key = Window.partitionBy(*KEY)
-    both = own.unionByName(fresh).withColumns({"top": F.max("top").over(_all()), "n": F.row_number().over(key.orderBy("promoted", "chunk_idx"))})
+    both = own.select(*fresh.columns).unionByName(fresh).withColumns({"top": F.max("top").over(_all()), "n": F.row_number().over(key.orderBy("promoted", "chunk_idx"))})
     return both.where("n = 1").withColumn("s", F.col("s") + F.lit(unit) * F.col("top") * F.col("tier")).where("promoted = 0 or s > 0").select(*c.columns)
 
 
-def query_boost(c: DataFrame, chunks: DataFrame, query: str | None) -> DataFrame:
-    """Definition, path and embedded-symbol boosts for a query that the driver knows."""
+def query_boost(c: DataFrame, chunks: DataFrame, query: str | None, promote: DataFrame | None = None) -> DataFrame:
+    """Definition, path and embedded-symbol boosts for a query that the driver knows.
+
+    ``promote`` has the chunks that a definition may add, where ``chunks`` are the candidates' only.
+    """
+    promote = chunks if promote is None else promote
     c = c.withColumns({"top": F.max("s").over(_all()), "promoted": F.lit(0)})
     if not query or not query.strip():
         return c
@@ -114,7 +118,7 @@ def query_boost(c: DataFrame, chunks: DataFrame, query: str | None) -> DataFrame
     if is_symbol(query):
         name = next((q.split(sep)[-1] for sep in ("::", "\\", "->", ".") if sep in q), q)
         near = T.stem_matches(F.col("stem"), F.lit(name.lower()))
-        return _define_boost(c, chunks, sorted({name, q}), 3.0, near)
+        return _define_boost(c, chunks, sorted({name, q}), 3.0, near, promote)
     words = [w.lower() for w in re.findall(T.IDENTIFIER, query) if len(w) > 2]
     keep = sorted({w for w in words if w not in T.STOPWORDS})
     if keep:
@@ -124,7 +128,7 @@ def query_boost(c: DataFrame, chunks: DataFrame, query: str | None) -> DataFrame
     symbols = sorted(set(re.findall(T.EMBEDDED, query)))
     if symbols:
         near = T.embedded_stem_matches(F.col("stem"), F.array(*(F.lit(s) for s in sorted({s.lower() for s in symbols}))))
-        c = _define_boost(c, chunks, symbols, 1.5, near)
+        c = _define_boost(c, chunks, symbols, 1.5, near, promote)
     return c
 
 
@@ -137,19 +141,24 @@ def saturate(c: DataFrame, penalize: bool) -> DataFrame:
     return x.withColumn("score", F.round(F.col("pen") * F.pow(F.lit(0.5), n - 1), PLACES))
 
 
-def fuse(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, options: FusionOptions) -> DataFrame:
-    """(rank, chunk_idx, file_path, start_line, end_line, score, content), best first; content joins after the limit.
+def ranking(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, options: FusionOptions, promote: DataFrame | None = None) -> DataFrame:
+    """(rank, chunk_idx, score) of the best ``options.top_k``.
 
     Equal scores are ordered by start line, dense rank, lexical rank and chunk; promoted chunks come last.
     """
     c = blend(lexical, dense, chunks, options.weight, options.rrf_k)
     if options.rerank:
-        c = saturate(query_boost(coherence(c), chunks, options.query), options.weight < 1)
+        c = saturate(query_boost(coherence(c), chunks, options.query, promote), options.weight < 1)
         order = [F.desc("score"), F.desc("pen"), F.col("promoted"), *_tie()]
     else:
         c = c.withColumn("score", F.round("s", PLACES))
         order = [F.desc("score"), *_tie()]
     best = c.orderBy(*order).limit(options.top_k)
-    best = best.withColumn("rank", F.row_number().over(_all().orderBy(*order))).select("rank", "chunk_idx", "score")
+    return best.withColumn("rank", F.row_number().over(_all().orderBy(*order))).select("rank", "chunk_idx", "score")
+
+
+def fuse(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, options: FusionOptions) -> DataFrame:
+    """(rank, chunk_idx, file_path, start_line, end_line, score, content), best first; content joins after the limit."""
+    best = ranking(lexical, dense, chunks, options)
     rest = chunks.select("chunk_idx", "file_path", "start_line", "end_line", "content")
     return rest.join(F.broadcast(best), "chunk_idx").select("rank", "chunk_idx", "file_path", "start_line", "end_line", "score", "content").orderBy("rank")

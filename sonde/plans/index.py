@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -18,6 +18,10 @@ from ..sources.model_files import StaticModel
 CHUNK = S.StructType(
     [S.StructField("file_path", S.StringType()), S.StructField("language", S.StringType()), *(S.StructField(c, S.IntegerType()) for c in ("start_line", "end_line", "start_byte", "end_byte")), S.StructField("content", S.StringType()), S.StructField("node_type", S.StringType()), S.StructField("is_definition", S.BooleanType())]
 )
+COLUMNS = ["file_path", "start_line", "end_line", "score", "content"]
+RESULT_CHUNK = "file_path string, start_line int, end_line int, content string"
+#: Results up to which a search is answered on the driver once its hits are known.
+AT_ONCE = 1000
 RESULT = "file_path string, start_line int, end_line int, score double, content string"
 
 
@@ -71,11 +75,12 @@ class CodeIndex:
             df.unpersist()
 
     def save(self, path: str) -> None:
-        """Persists the statistics; postings are sorted by term within files, so that a query reads few row groups."""
-        self.lexical.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name, df in (("terms", self.lexical.terms), ("corpus", self.lexical.corpus), ("chunks", self.chunks), ("vectors", self.vectors)):
+        """Persists the index. Postings and terms are sorted by term, chunks and vectors by chunk, so that the filters of a query skip most row groups."""
+        tables = (("postings", self.lexical.postings, "term"), ("terms", self.lexical.terms, "term"), ("chunks", self.chunks, "chunk_idx"), ("vectors", self.vectors, "chunk_idx"))
+        for name, df, key in tables:
             if df is not None:
-                df.write.mode("overwrite").parquet(f"{path}/{name}")
+                df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.lexical.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, vectors: bool = False, k1: float = 1.5, b: float = 0.75) -> CodeIndex:
@@ -88,21 +93,24 @@ class CodeIndex:
     def _within(self, paths: list[str] | None) -> DataFrame | None:
         if paths is None:
             return None
+        return self.chunks.where(self._at(paths)).select("chunk_idx")
+
+    @staticmethod
+    def _at(paths: list[str]) -> Column:
+        """Whether a chunk's path is one of ``paths``, backslashes being slashes on both sides."""
         wanted = [p.replace("\\", "/") for p in paths]
-        return self.chunks.where(T.slashes(F.col("file_path")).isin(wanted) if wanted else F.lit(False)).select("chunk_idx")
+        return T.slashes(F.col("file_path")).isin(wanted) if wanted else F.lit(False)
 
     def lexical_hits(self, query: str, k: int, only: DataFrame | None = None) -> DataFrame:
-        q = _one(self.spark, query_id=0, query=query)
-        return bm25.ranked(bm25.score(self.lexical, bm25.query_terms(q), only, few=True), k).select("chunk_idx", "score", "rank")
+        return bm25.top(self.lexical, T.tokens_of(query), k, only)
 
-    def dense_hits(self, vector: list[float] | None, k: int, only: DataFrame | None = None) -> DataFrame:
-        """K3: the ``k`` chunks with the highest positive dot product."""
+    def dense_hits(self, vector: list[float] | None, k: int, only: DataFrame | None = None, but: int | None = None) -> DataFrame:
+        """K3: the ``k`` chunks with the highest positive dot product, ``but`` left out."""
         if self.vectors is None or vector is None or not any(vector):
             return _hits(self.spark)
         v = self.vectors if only is None else self.vectors.join(only, "chunk_idx", "left_semi")
-        s = V.nearest(v, vector).select(F.lit(0).alias("query_id"), "chunk_idx", F.round("score", bm25.PLACES).alias("score")).where("score > 0")
-        best = s.orderBy(F.desc("score"), "chunk_idx").limit(k)
-        return bm25.ranked(best, k).select("chunk_idx", "score", "rank")
+        v = v if but is None else v.where(F.col("chunk_idx") != but)
+        return bm25.best(V.nearest(v, vector).select("chunk_idx", F.round("score", bm25.PLACES).alias("score")).where("score > 0"), k)
 
     def encode(self, query: str) -> list[float] | None:
         if self.model is None:
@@ -116,6 +124,28 @@ class CodeIndex:
         ids = [i for w in re.findall(f"[{W.PUNCTUATION}]|[^{blanks}{W.PUNCTUATION}]+", text) for i in self.tokenizer.word_ids(w)]
         return self.model.encode(ids).tolist()
 
+    def _fused(self, lex: DataFrame, den: DataFrame, scope: DataFrame, options: fusion.FusionOptions) -> DataFrame:
+        """Results of two hit lists over ``scope``.
+
+        Up to AT_ONCE results the hits, over-fetched ten for a result at most, are taken to the driver with their chunks, read by their ids;
+        all that follows is one small partition, and the result's rows are there when this returns. Larger ones stay distributed and lazy.
+        """
+        if options.top_k > AT_ONCE:
+            return fusion.fuse(lex, den, scope, options).select(*COLUMNS)
+        hits = lex.select(F.lit(0).alias("l"), "chunk_idx", "score", "rank").union(den.select(F.lit(1), "chunk_idx", "score", "rank")).collect()
+        here = self._rows(scope, sorted({h["chunk_idx"] for h in hits}))
+        one = lambda rows, schema: self.spark.createDataFrame(rows, schema).coalesce(1)
+        lists = [one([tuple(h)[1:] for h in hits if h["l"] == l], "chunk_idx long, score double, rank int") for l in (0, 1)]
+        top = fusion.ranking(*lists, one(here, f"chunk_idx long, {RESULT_CHUNK}"), options, promote=scope).orderBy("rank").collect()
+        known = {r[0]: r for r in [*here, *self._rows(scope, sorted({t["chunk_idx"] for t in top} - {r[0] for r in here}))]}
+        found = [(known[t["chunk_idx"]], t["score"]) for t in top]
+        return one([(path, first, last, score, content) for (_, path, first, last, content), score in found], RESULT)
+
+    def _rows(self, scope: DataFrame, ids: list[int]) -> list[tuple]:
+        if not ids:
+            return []
+        return [tuple(r) for r in scope.where(T.any_of(F.col("chunk_idx"), ids)).select("chunk_idx", "file_path", "start_line", "end_line", "content").collect()]
+
     def search(self, query: str, top_k: int = 8, filter_paths: list[str] | None = None, alpha: float | None = None, vector: list[float] | None = None, rerank: bool = True) -> DataFrame:
         """Results of a free-text query, best first. An empty list of paths, a blank query or top_k < 1 give none."""
         if top_k < 1 or not query.strip() or filter_paths == []:
@@ -123,31 +153,27 @@ class CodeIndex:
         only = self._within(filter_paths)
         lex = self.lexical_hits(query, 5 * top_k, only)
         den = self.dense_hits(vector if vector is not None else self.encode(query), 5 * top_k, only)
-        scope = self.chunks if only is None else self.chunks.join(only, "chunk_idx", "left_semi")
-        out = fusion.fuse(lex, den, scope, fusion.FusionOptions(top_k, query=query, alpha=alpha, rerank=rerank))
-        return out.select("file_path", "start_line", "end_line", "score", "content")
+        scope = self.chunks if only is None else self.chunks.where(self._at(filter_paths))
+        return self._fused(lex, den, scope, fusion.FusionOptions(top_k, query=query, alpha=alpha, rerank=rerank))
 
     def anchor(self, file: str, line: int):
-        """The first chunk of a file that spans a line, or null."""
+        """The first chunk of a file that spans a line, with its tokens, or null."""
         at = self.chunks.where((F.col("file_path") == file) & F.lit(line).between(F.col("start_line"), F.col("end_line")))
-        return at.orderBy("chunk_idx").select("chunk_idx", "content", "file_path").first()
+        return at.orderBy("chunk_idx").limit(1).select("chunk_idx", "content", "file_path", T.tokenize(T.enrich(F.col("content"), F.col("file_path"))).alias("tokens")).first()
 
     def find_related(self, file: str, line: int, top_k: int = 8) -> DataFrame:
-        """C4: chunks like the one at a place: its tokens and its vector as queries, itself left out."""
+        """C4: chunks like the one at a place: its tokens and its vector as queries, itself left out.
+
+        Of each list 5 top_k + 1 are fetched (K4): the lexical one, from which the anchor then goes if it is there, and the dense one without it.
+        """
         got = self.anchor(file, line) if top_k >= 1 else None
         if got is None:
             return self.spark.createDataFrame([], RESULT)
         me = F.col("chunk_idx") != got["chunk_idx"]
-        q = _one(self.spark, content=got["content"], file_path=got["file_path"])
-        terms = q.select(F.lit(0).alias("query_id"), F.explode(F.array_distinct(T.tokenize(T.enrich(F.col("content"), F.col("file_path"))))).alias("term"))
-        lex = bm25.ranked(bm25.ranked(bm25.score(self.lexical, terms, few=True), 5 * top_k + 1).where(me).select("query_id", "chunk_idx", "score"), 5 * top_k).select("chunk_idx", "score", "rank")
-        den = _hits(self.spark)
-        if self.vectors is not None:
-            v = self.vectors.where(F.col("chunk_idx") == got["chunk_idx"]).select("embedding").first()
-            if v is not None:
-                den = self.dense_hits([float(x) for x in v[0]], 5 * top_k, self.chunks.where(me).select("chunk_idx"))
-        out = fusion.fuse(lex, den, self.chunks.where(me), fusion.FusionOptions(top_k, query=got["content"]))
-        return out.select("file_path", "start_line", "end_line", "score", "content")
+        lex = bm25.best(bm25.top(self.lexical, got["tokens"], 5 * top_k + 1).where(me), 5 * top_k + 1)
+        v = None if self.vectors is None else self.vectors.where(~me).select("embedding").first()
+        den = self.dense_hits(None if v is None else [float(x) for x in v[0]], 5 * top_k + 1, but=got["chunk_idx"])
+        return self._fused(lex, den, self.chunks.where(me), fusion.FusionOptions(top_k, query=got["content"]))
 
     def explain(self, query: str, k: int = 15) -> DataFrame:
         """C10."""
@@ -155,6 +181,24 @@ class CodeIndex:
         return bm25.explain(self.lexical, bm25.query_terms(q), self.chunks, k)
 
 
+def anchors(chunks: DataFrame, places: DataFrame) -> DataFrame:
+    """J5 for many places (place, file_path, line): (place, chunk_idx) of the first chunk that spans each; none for a place without one."""
+    at = places.join(chunks, "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    return at.groupBy("place").agg(F.min("chunk_idx").alias("chunk_idx"))
+
+
+def percentiles(values: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """A9 over a column: a row with the nearest-rank percentile of every name in ``wanted``, nulls left out.
+
+    Values are counted first; only (value, count) of each different value goes through the ordered window.
+    """
+    v = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
+    window = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = v.agg(F.count("*").alias("n"))
+    cum = v.groupBy("value").count().withColumn("cum", F.sum("count").over(window)).crossJoin(F.broadcast(n))
+    return cum.agg(*(F.min(F.when(F.col("cum") > F.floor((F.col("n") - 1) * p + 0.5), F.col("value"))).alias(name) for name, p in wanted.items()))
+
+
 def formatted(results: DataFrame) -> DataFrame:
     """Results as lines of text."""
     return results.select(F.format_string("%s:%d-%d score=%.4f", "file_path", "start_line", "end_line", "score").alias("line"))
@@ -162,7 +206,7 @@ def formatted(results: DataFrame) -> DataFrame:
 
 def as_json(results: DataFrame) -> DataFrame:
     """Results as JSON objects."""
-    return results.select(F.to_json(F.struct("file_path", "start_line", "end_line", "score", "content")).alias("json"))
+    return results.select(F.to_json(F.struct(*COLUMNS)).alias("json"))
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
