@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.syntax import Node, Provider, provider_for
@@ -141,3 +141,25 @@ def merge_adjacent(spans: Column, desired: int = DESIRED) -> Column:
         return F.struct(F.when(fits, grown).otherwise(F.concat(acc["done"], F.array(s))).alias("done"), F.when(fits, acc["held"] + size).otherwise(size).alias("held"))
 
     return F.aggregate(spans, start.cast(kind), lambda a, s: step(a, s).cast(kind), lambda a: a["done"])
+
+
+def merged(files: DataFrame, key: str, spans: str, desired: int = DESIRED) -> DataFrame:
+    """P4 over many files: (key, start_byte, end_byte, node_type) of the merged spans of each row, in one pass over its array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [merge([Span(s["start_byte"], s["end_byte"], s["node_type"]) for s in row or ()], desired) for row in b.column(1).to_pylist()]
+            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            cols = [[x.start for f in found for x in f], [x.end for f in found for x in f], [x.kind for f in found for x in f]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string()), strict=True))], [key, "start_byte", "end_byte", "node_type"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, spans).mapInArrow(run, f"{key} {kind}, start_byte int, end_byte int, node_type string")
+
+
+def lines(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, start_byte, end_byte, content) of every line of a text, without its line feed; offsets are running sums over the lines."""
+    each = files.select(F.col(key).alias(key), F.posexplode(F.split(text, "\n", -1)).alias("n", "content"))
+    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("content") + 1).over(before), F.lit(0)).cast("int")
+    return each.withColumn("start_byte", start).select(key, (F.col("n") + 1).alias("line"), "start_byte", (F.col("start_byte") + F.octet_length("content")).alias("end_byte"), "content")

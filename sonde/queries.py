@@ -6,7 +6,9 @@ fifth, a class definition. All queries run over their whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -130,7 +132,22 @@ def s_terms(text: str) -> str:
 
 def _lexical(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, bm25.Bm25]:
     chunks = corpus(spark, sf_dir)
-    return chunks, bm25.build(bm25.token_table(chunks), keep=True, **how)
+    return chunks, bm25.build(bm25.token_table(chunks), **how)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, k1: float = 1.5, b: float = 0.75) -> plans.CodeIndex:
+    """The index of the corpus, built and saved once in a session and read from its files by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        chunks, lexical = _lexical(spark, sf_dir)
+        vectors = _vectors(spark, sf_dir).join(chunks.select("chunk_idx"), "chunk_idx", "left_semi")
+        path = f"{store.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        plans.CodeIndex(spark, chunks, lexical, vectors).save(path)
+        _STORED[key] = path
+    return plans.CodeIndex.load(spark, _STORED[key], vectors=True, k1=k1, b=b)
 
 
 # --- text functions -----------------------------------------------------------------------------------------------------
@@ -319,11 +336,15 @@ ends AS (SELECT doc_id, text, list_transform(range(1, len(l) + 1), lambda i: CAS
     "SELECT doc_id, CAST(n AS INTEGER) AS line, CAST(b AS INTEGER) AS start_byte, CAST(b + strlen(s) AS INTEGER) AS end_byte, s AS content FROM (SELECT doc_id, n, s, coalesce(sum(strlen(s) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) WHERE s <> ''",
 )
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "s"), "text")
-    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    b = F.coalesce(F.sum(F.octet_length("s") + 1).over(w), F.lit(0)).cast("int")
-    x = d.withColumn("b", b).withColumn("e", F.col("b") + F.octet_length("s")).where("s <> ''")
-    return x.select("doc_id", T.start_line(F.col("text"), F.col("b")).alias("line"), F.col("b").alias("start_byte"), F.col("e").alias("end_byte"), T.byte_slice(F.col("text"), F.col("b"), F.col("e")).alias("content"))
+    lines = chunking.lines(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines.where("content <> ''").select("doc_id", "line", "start_byte", "end_byte", "content")
+
+
+@query("p7_byte_slice", "SELECT doc_id, length(regexp_extract(text, '^[^\\n]*', 0)) AS head, substr(text, length(regexp_extract(text, '^[^\\n]*', 0)) + 2) AS rest, CAST(length(text) - length(replace(text, chr(10), '')) + 1 - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS INTEGER) AS last_line FROM documents")
+def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    head, size = F.element_at(F.split(text, "\n", -1), 1), F.octet_length(text)
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(head).cast("long").alias("head"), T.byte_slice(text, F.octet_length(head) + 1, size).alias("rest"), T.end_line(text, size).cast("int").alias("last_line"))
 
 
 @query(
@@ -337,18 +358,10 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, start_byte, max(e) AS end_byte, count(*) AS parts FROM r GROUP BY doc_id, g, start_byte""",
 )
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
-    zero = F.from_json(F.lit('{"at":0,"out":[]}'), "at int, out array<struct<start_byte:int,end_byte:int,node_type:string>>")
-    kind = "struct<at:int,out:array<struct<start_byte:int,end_byte:int,node_type:string>>>"
-
-    def step(acc: Column, s: Column) -> Column:
-        end = acc["at"] + F.octet_length(s)
-        span = F.array(F.struct(acc["at"].alias("start_byte"), end.alias("end_byte"), F.concat(F.lit("l"), F.size(acc["out"])).alias("node_type")))
-        return F.struct((end + 1).alias("at"), F.when(s == "", acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out")).cast(kind)
-
-    spans = F.aggregate("l", zero.cast(kind), step, lambda a: a["out"])
-    m = d.select("doc_id", F.explode(chunking.merge_adjacent(spans)).alias("m"))
-    return m.select("doc_id", "m.start_byte", "m.end_byte", F.size(F.split("m.node_type", "\\+")).cast("long").alias("parts"))
+    lines = chunking.lines(read(spark, sf_dir, "documents"), "doc_id", "text").where("content <> ''")
+    span = F.struct("start_byte", "end_byte", F.concat(F.lit("l"), "line").alias("node_type"))
+    merged = chunking.merged(lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans")), "doc_id", "spans")
+    return merged.select("doc_id", "start_byte", "end_byte", F.size(F.split("node_type", "\\+")).cast("long").alias("parts"))
 
 
 @query("p9_is_definition", "SELECT kind, regexp_matches(kind, 'class|function|method|constructor|declaration|definition') AS is_definition FROM (SELECT DISTINCT p_type || '_' || CASE p_size % 4 WHEN 0 THEN 'declaration' WHEN 1 THEN 'statement' WHEN 2 THEN 'class_body' ELSE 'call' END AS kind FROM part)")
@@ -388,9 +401,8 @@ def _topk(name: str, k1: float, b: float, where: str = "true", only=None) -> Non
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        chunks, index = _lexical(spark, sf_dir, k1=k1, b=b)
-        s = bm25.score(index, _terms(spark, TEXT), None if only is None else chunks.where(only()).select("chunk_idx"), few=True)
-        return bm25.ranked(s, 40).select("rank", "chunk_idx", "score")
+        index = stored(spark, sf_dir, k1, b)
+        return index.lexical_hits(TEXT, 40, None if only is None else index.chunks.where(only()).select("chunk_idx")).select("rank", "chunk_idx", "score")
 
 
 _topk("k1_bm25_topk", 1.5, 0.75)
@@ -401,7 +413,7 @@ _topk("k2_bm25_filtered", 1.5, 0.75, "chunk_idx IN (SELECT chunk_idx FROM corpus
 @query("k1_bm25_batch", f"WITH {BM25_TABLES}, q AS (SELECT item_id AS query_id, unnest({s_tokens('text')}) AS term FROM benchmark), scores AS ({s_score('q')}) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_idx, score FROM ({s_ranked('scores', 10)})")
 def k1_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = bm25.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text")
-    return bm25.ranked(bm25.score(_lexical(spark, sf_dir)[1], terms), 10)
+    return bm25.ranked(bm25.score(stored(spark, sf_dir).lexical, terms), 10)
 
 
 @query(
@@ -411,8 +423,7 @@ def k1_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT chunk_idx, score, array_to_string(list_sort(h), ' ') AS hits, CAST(len(list_intersect(ts, {s_tokens(s_enrich("''", 'file_path'))})) AS INTEGER) AS path_hits, doc_len FROM hit JOIN corpus USING (chunk_idx)""",
 )
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, index = _lexical(spark, sf_dir)
-    return bm25.explain(index, _terms(spark, TEXT), chunks)
+    return stored(spark, sf_dir).explain(TEXT)
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------
@@ -446,9 +457,8 @@ _DENSE = f"{QVEC}, dscores AS (SELECT 0 AS query_id, vec_id AS chunk_idx, round(
 
 @query("k3_dense_topk", f"WITH {_DENSE} SELECT CAST(rank AS INTEGER) AS rank, chunk_idx, score FROM ({s_ranked('dscores', 40)})")
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = V.encode(_bags(spark), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding"), DIM)
-    s = _vectors(spark, sf_dir).crossJoin(F.broadcast(q)).select(F.col("key").alias("query_id"), "chunk_idx", F.round(V.dot(F.col("embedding"), F.col("vector")), 9).alias("score")).where("score > 0")
-    return bm25.ranked(s.orderBy(F.desc("score"), "chunk_idx").limit(40), 40).select("rank", "chunk_idx", "score")
+    index = plans.CodeIndex(spark, corpus(spark, sf_dir), None, _vectors(spark, sf_dir))
+    return index.dense_hits(_qvec(spark, sf_dir), 40).select("rank", "chunk_idx", "score")
 
 
 @query("k3_dense_bulk", f"WITH {_DENSE} SELECT chunk_idx, round(score, 6) AS score FROM dscores")
@@ -494,9 +504,9 @@ def v2_sif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(V.encode(_doc_bags(spark, sf_dir), model, DIM))
 
 
-@query("v1_rows", "WITH i AS (SELECT DISTINCT doc_id * 7 % 700 AS id FROM documents) SELECT id, round(coalesce(embedding[1]::DOUBLE, 0), 6) AS v0, coalesce(len(embedding), 64) AS dim FROM i LEFT JOIN embeddings ON vec_id = id")
+@query("v1_rows", "WITH i AS (SELECT doc_id AS id FROM documents UNION SELECT vec_id FROM embeddings) SELECT id, round(coalesce(embedding[1]::DOUBLE, 0), 6) AS v0, coalesce(len(embedding), 64) AS dim FROM i LEFT JOIN embeddings ON vec_id = id")
 def v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = read(spark, sf_dir, "documents").select((F.col("doc_id") * 7 % 700).alias("id")).distinct()
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).union(read(spark, sf_dir, "embeddings").select("vec_id")).distinct()
     model = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding")
     return V.rows(ids, model, DIM).select("id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("v0"), F.size("embedding").cast("long").alias("dim"))
 
@@ -526,9 +536,8 @@ def _hits_sql(text: str, k: int, where: str = "true") -> str:
 
 
 def _hits(spark: SparkSession, sf_dir: str, text: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks, index = _lexical(spark, sf_dir)
-    i = plans.CodeIndex(spark, chunks, index, _vectors(spark, sf_dir).join(chunks.select("chunk_idx"), "chunk_idx", "left_semi"))
-    return i.lexical_hits(text, k), i.dense_hits(_qvec(spark, sf_dir), k), chunks
+    i = stored(spark, sf_dir)
+    return i.lexical_hits(text, k), i.dense_hits(_qvec(spark, sf_dir), k), i.chunks
 
 
 @query("j7_rrf_fuse", f"WITH {BM25_TABLES}, {_hits_sql(TEXT, 40)}, {s_blend(0.5)} SELECT file_path, start_line, chunk_idx, round(s, 9) AS s FROM c")
@@ -608,6 +617,7 @@ _RESULT = "SELECT CAST(rank AS INTEGER) AS rank, b.chunk_idx, b.file_path, b.sta
 
 
 def _search(spark: SparkSession, sf_dir: str, text: str, k: int) -> DataFrame:
+    """The distributed form of a search; c3_search_filtered, c4 and k4 take the one that goes by way of the driver."""
     lex, den, chunks = _hits(spark, sf_dir, text, 5 * k)
     out = fusion.fuse(lex, den, chunks, fusion.FusionOptions(top_k=k, query=text))
     return out.withColumn("score", F.round("score", 6))
@@ -642,12 +652,27 @@ _F_WHERE = "chunk_idx IN (SELECT chunk_idx FROM corpus WHERE file_path IN (" + "
 
 @query("c3_search_filtered", f"WITH {BM25_TABLES}, {_hits_sql(TEXT, 40, _F_WHERE)}, {s_blend(0.5)}, {S_COHERENCE}, {_TOP}, {s_keyword_boost(['doc_7', 'erth', 'tion'], 't', 'b')}, {S_SATURATE} SELECT file_path, start_line, end_line, score, content FROM ({_RESULT} WHERE rank <= 8)")
 def c3_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, lexical = _lexical(spark, sf_dir)
-    i = plans.CodeIndex(spark, chunks, lexical, _vectors(spark, sf_dir).join(chunks.select("chunk_idx"), "chunk_idx", "left_semi"))
-    return i.search(TEXT, 8, FILTER, vector=_qvec(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return stored(spark, sf_dir).search(TEXT, 8, FILTER, vector=_qvec(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("s17_result_json")
+@query("t21_filter_backslashes", f"WITH {BM25_TABLES}, {_hits_sql(TEXT, 40, _F_WHERE)}, {s_blend(0.5)}, {S_COHERENCE}, {_TOP}, {s_keyword_boost(['doc_7', 'erth', 'tion'], 't', 'b')}, {S_SATURATE} SELECT file_path, start_line, end_line, score, content FROM ({_RESULT} WHERE rank <= 8)")
+def t21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    backslashed = [p.replace("/", "\\") for p in FILTER]
+    return stored(spark, sf_dir).search(TEXT, 8, backslashed, vector=_qvec(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def _interactive(name: str, text: str, boosts: str) -> None:
+    @query(name, f"WITH {BM25_TABLES}, {_hits_sql(text, 40)}, {s_blend(0.3 if fusion.is_symbol(text) else 0.5)}, {S_COHERENCE}, {_TOP}, {boosts}, {S_SATURATE} SELECT file_path, start_line, end_line, score, content FROM ({_RESULT} WHERE rank <= 8)")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stored(spark, sf_dir).search(text, 8, vector=_qvec(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+_interactive("c3_index_search_text", TEXT, s_keyword_boost(["doc_7", "erth", "tion"], "t", "b"))
+_interactive("c7_index_search_symbol", SYMBOL, s_define_boost([SYMBOL], 3.0, s_near(SYMBOL.lower()), "t", "b"))
+_interactive("c9_index_search_natural", NATURAL, f"{s_keyword_boost(_WORDS, 't', 'w')}, {s_define_boost(['Doc20Parser', 'fooDoc'], 1.5, _EMBED_NEAR, 'w', 'b')}")
+
+
+@query("s17_result_json", f"WITH {BM25_TABLES}, {_hits_sql(TEXT, 40)}, {s_blend(0.5)}, {S_COHERENCE}, {_TOP}, {s_keyword_boost(['doc_7', 'erth', 'tion'], 't', 'b')}, {S_SATURATE} SELECT CAST(to_json({{file_path: file_path, start_line: start_line, end_line: end_line, score: score, content: content}}) AS VARCHAR) AS json FROM ({_RESULT} WHERE rank <= 8)")
 def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.as_json(_search(spark, sf_dir, TEXT, 8))
 
@@ -662,17 +687,30 @@ def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH a AS (SELECT item_id, 'conv/' || (item_id % 40) AS file_path, item_id % 9 AS line FROM benchmark), k AS (SELECT conv_id * 1000 + turn AS chunk_idx, 'conv/' || (conv_id % 40) AS file_path, turn * 2 AS lo, turn * 2 + 3 AS hi FROM conversations) SELECT item_id, min(chunk_idx) AS chunk_idx FROM a JOIN k USING (file_path) WHERE line BETWEEN lo AND hi GROUP BY item_id",
 )
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("conv/"), F.col("item_id") % 40).alias("file_path"), (F.col("item_id") % 9).alias("line"))
+    a = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), F.concat(F.lit("conv/"), F.col("item_id") % 40).alias("file_path"), (F.col("item_id") % 9).alias("line"))
     t = F.col("turn")
-    k = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + t).alias("chunk_idx"), F.concat(F.lit("conv/"), F.col("conv_id") % 40).alias("file_path"), (t * 2).alias("lo"), (t * 2 + 3).alias("hi"))
-    return a.join(k, "file_path").where(F.col("line").between(F.col("lo"), F.col("hi"))).groupBy("item_id").agg(F.min("chunk_idx").alias("chunk_idx"))
+    k = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + t).alias("chunk_idx"), F.concat(F.lit("conv/"), F.col("conv_id") % 40).alias("file_path"), (t * 2).alias("start_line"), (t * 2 + 3).alias("end_line"))
+    return plans.anchors(k, a).select(F.col("place").alias("item_id"), "chunk_idx")
+
+
+ANCHOR = "src/src0/doc_0_parser.py"
+_M = "(len(list_filter(ks, lambda k: list_contains(parts, k))) + len(list_filter(ks, lambda k: NOT list_contains(parts, k) AND len(list_filter(parts, lambda p: least(length(p), length(k)) >= 3 AND (starts_with(p, k) OR starts_with(k, p)))) > 0))) / len(ks)::DOUBLE"
 
 
-@query("c4_find_related")
+@query(
+    "c4_find_related",
+    f"""WITH {BM25_TABLES}, anchor AS (SELECT chunk_idx AS me, content AS text FROM corpus WHERE file_path = '{ANCHOR}' AND 0 BETWEEN start_line AND end_line ORDER BY chunk_idx LIMIT 1),
+ q AS (SELECT 0 AS query_id, unnest(list_distinct(tokens)) AS term FROM tokens, anchor WHERE chunk_idx = me), scores AS ({s_score('q')}), most AS ({s_ranked('scores', 41)}),
+ others AS (SELECT query_id, chunk_idx, score FROM most, anchor WHERE chunk_idx <> me), lex AS ({s_ranked('others', 41)}),
+ dscores AS (SELECT 0 AS query_id, e.vec_id AS chunk_idx, round(list_inner_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings a, anchor WHERE a.vec_id = me AND e.vec_id <> me AND e.vec_id IN (SELECT chunk_idx FROM corpus)),
+ dsub AS (SELECT * FROM dscores WHERE score > 0), den AS ({s_ranked('dsub', 41)}),
+ {s_blend(0.5)}, {S_COHERENCE}, {_TOP}, kw AS (SELECT {_S_KEYWORDS} AS ks FROM anchor), p_w AS (SELECT t.*, {_S_PARTS} AS parts, ks FROM t, kw),
+ w AS (SELECT file_path, start_line, chunk_idx, s + CASE WHEN {_M} >= 0.1 THEN top * {_M} ELSE 0 END AS s, den_rank, lex_rank, top, promoted FROM p_w),
+ {s_define_boost(["Doc0Parser"], 1.5, f"k.chunk_idx <> (SELECT me FROM anchor) AND ('doc0parser' = {_K_STEM} OR 'doc0parser' = replace({_K_STEM}, '_', '') OR (length({_K_STEM}) >= 4 AND starts_with('doc0parser', {_K_STEM})) OR (length(replace({_K_STEM}, '_', '')) >= 4 AND starts_with('doc0parser', replace({_K_STEM}, '_', ''))))", "w", "b")},
+ {S_SATURATE} SELECT file_path, start_line, end_line, score, content FROM ({_RESULT} WHERE rank <= 8)""",
+)
 def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, lexical = _lexical(spark, sf_dir)
-    i = plans.CodeIndex(spark, chunks, lexical, _vectors(spark, sf_dir).join(chunks.select("chunk_idx"), "chunk_idx", "left_semi"))
-    return i.find_related("src/src0/doc_0_parser.py", 0, 8)
+    return stored(spark, sf_dir).find_related(ANCHOR, 0, 8).withColumn("score", F.round("score", 6))
 
 
 @query("u5_path_overlap", f"WITH {BM25_TABLES}, q AS {s_terms(TEXT)}, scores AS ({s_score('q')}), a AS ({s_ranked('scores', 40)}), s2 AS ({s_score('q', 0.9, 0.4)}), b AS ({s_ranked('s2', 40)}), x AS (SELECT list(DISTINCT file_path) AS x FROM a JOIN corpus USING (chunk_idx)), y AS (SELECT list(DISTINCT file_path) AS y FROM b JOIN corpus USING (chunk_idx)) SELECT len(list_intersect(x, y)) / greatest(len(x), len(y))::DOUBLE AS overlap FROM x, y")
@@ -685,13 +723,7 @@ def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a9_percentile", "WITH v AS (SELECT list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL) SELECT v[CAST(floor((len(v) - 1) * 0.5 + 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor((len(v) - 1) * 0.95 + 0.5) AS BIGINT) + 1] AS p95 FROM v")
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = read(spark, sf_dir, "events").where("value is not null").select("value")
-    n = v.agg(F.count("*").alias("n"))
-    at = lambda p: F.floor((F.col("n") - 1) * p + 0.5)
-    counts = v.groupBy("value").count()
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("cum", F.sum("count").over(w)).crossJoin(F.broadcast(n))
-    return cum.agg(*(F.min(F.when(F.col("cum") > at(p), F.col("value"))).alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"))))
+    return plans.percentiles(read(spark, sf_dir, "events"), "value", {"p50": 0.5, "p95": 0.95})
 
 
 # --- cache, codec, WordPiece --------------------------------------------------------------------------------------------
@@ -705,9 +737,14 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, i = read(spark, sf_dir, "pages"), F.col("page_id")
     size = F.octet_length("html").cast("long")
     one = lambda k: F.when(i % k == 0, 1).otherwise(0)
-    files = p.select(F.col("url").alias("path"), i.alias("mtime"), size.alias("size"), F.lit(chunking.VERSION).alias("v"))
-    held = p.select(F.col("url").alias("path"), (i + one(7)).alias("mtime"), (size + one(11)).alias("size"), (2 - F.greatest(one(13), one(5))).alias("v")).distinct()
-    return files.join(held.withColumn("hit", F.lit(True)), ["path", "mtime", "size", "v"], "left").select("path", "mtime", F.coalesce("hit", F.lit(False)).alias("hit"))
+    files = p.select(F.col("url").alias("path"), i.alias("mtime_ms"), size.alias("size"))
+    held = p.select(F.col("url").alias("path"), (i + one(7)).alias("mtime_ms"), (size + one(11)).alias("size"), F.array().cast(store.CHUNKS).alias("chunks"), (2 - F.greatest(one(13), one(5))).alias("v"))
+    kept = store.ChunkStore(spark, f"{store.shared_folder(spark)}/chunks-{uuid.uuid4().hex}")
+    for v in (chunking.VERSION - 1, chunking.VERSION):
+        kept.add(held.where(F.col("v") == v), v)
+    hits, misses = kept.split(files)
+    found = hits.select("path", "mtime_ms", F.lit(True).alias("hit")).unionByName(misses.select("path", "mtime_ms", F.lit(False).alias("hit")))
+    return found.withColumnRenamed("mtime_ms", "mtime")
 
 
 @query("s12_chunk_codec", f"WITH {CORPUS} SELECT file_path, language, start_line, end_line, 0 AS start_byte, CAST(strlen(content) AS INTEGER) AS end_byte, content, 'text' AS node_type, false AS is_definition FROM corpus")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +19,17 @@ CHUNKS = "array<struct<" + ",".join(f.replace(" ", ":") for f in FIELDS.split(",
 SCHEMA = f"path_key string, path string, mtime_ms long, size long, chunker_version int, chunks {CHUNKS}"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session without that setting gets a temporary one, removed with the process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sonde-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 class ChunkStore:
     """Parquet files, one row for each source file: its key and its chunks. Each write adds a generation; the newest row of a path counts."""
 
@@ -36,9 +50,9 @@ class ChunkStore:
         held = self.read()
         return now.join(held.drop("path_key"), KEY), now.join(held.select(*KEY), KEY, "left_anti").drop("chunker_version")
 
-    def add(self, files: DataFrame) -> None:
+    def add(self, files: DataFrame, version: int = VERSION) -> None:
         """Writes (path, mtime_ms, size, chunks) as a generation of its own."""
-        rows = files.select(F.sha2("path", 256).alias("path_key"), "path", "mtime_ms", "size", F.lit(VERSION).alias("chunker_version"), "chunks")
+        rows = files.select(F.sha2("path", 256).alias("path_key"), "path", "mtime_ms", "size", F.lit(version).alias("chunker_version"), "chunks")
         rows.write.mode("append").parquet(f"{self.folder}/generation={uuid.uuid1().hex}")
 
     def remove(self, paths: list[str]) -> None:
