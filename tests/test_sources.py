@@ -13,7 +13,7 @@ from sonde.plans.session import SearchError, SearchSession
 from sonde.sources import store as S
 from sonde.sources import walk as W
 from sonde.sources.model_files import StaticModel
-from sonde.sources.syntax import Indented, Node, PythonAst
+from sonde.sources.syntax import Indented, Node, PythonAst, provider_for
 from sonde.streaming import incremental
 
 
@@ -171,3 +171,69 @@ def test_stream(spark, tmp_path):
     chunks, index = incremental.load(spark, str(tmp_path / "out"))
     assert chunks.count() == 4 and index.corpus.first().n_docs == 4
     assert {r.term: r.df for r in index.terms.collect()}["alpha"] == 4
+
+
+DECLARED = {
+    "go": ("package a\n\nimport (\n\t\"fmt\"\n)\n\n// Add {\nfunc Add(a, b int) int {\n\tif a > 0 {\n\t\treturn '}'\n\t}\n\treturn b\n}\n\ntype P struct {\n\tX int\n}\n\nfunc (p *P) Move() { p.X++ }\n", ["import", "import", "comment", "function", "class", "function"]),
+    "dart": ("import 'a.dart';\n\nclass A extends B {\n  A(this.x);\n  int twice() => x * 2;\n  void run() { print('} ${s}'); }\n}\n\nvoid main() {\n  run(\"}\");\n}\n", ["import", "class", "function"]),
+    "typescript": ("import { a } from './a'\nexport interface P { x: number }\nexport const f = (x) => {\n  return x\n}\nclass A {\n  m(): void { this.x = `}` }\n}\nfunction g() {\n  return 1\n}\n", ["import", "class", "function", "class", "function"]),
+    "rust": ("use std::io;\n\n#[derive(Debug)]\nstruct P<'a> { x: &'a str }\n\nimpl<'a> P<'a> {\n    fn get(&self) -> char { '}' }\n}\n\npub fn main() {\n    if x { a(); } else { b(); }\n}\n", ["import", "class", "class", "function"]),
+    "cpp": ("#include <a.h>\nclass A {\n public:\n  int f() const { return 1; }\n};\nint g(int x) {\n  return x; /* } */\n}\n", ["import", "class", "function"]),
+    "java": ("package a.b;\n/** {doc */\n@Foo(1)\npublic class A {\n  int x = 1;\n  int get() { return x; }\n}\n", ["import", "comment", "class"]),
+    "php": ("<?php\nclass B {\n  public function c($x) { # }\n    return $x;\n  }\n}\nfunction d() { return '}'; }\n", ["expression", "class", "function"]),
+    "ruby": ("require 'x'\n# class\nmodule M\n  def f(x)\n    return 1 if x\n    [1].each do |y|\n      puts y\n    end\n  end\nend\ndef g\n  1\nend\n", ["line", "comment", "module", "method"]),
+}
+
+
+@pytest.mark.parametrize("language", DECLARED)
+def test_declarations_are_nodes(language):
+    source, kinds = DECLARED[language]
+    raw, root = source.encode(), provider_for(language).parse(source)
+    assert [c.kind.split("_")[0] for c in root.children] == kinds
+    for c in root.children:
+        if c.kind.split("_")[0] in ("class", "function", "method", "module"):
+            assert raw[c.end - 1 : c.end] in (b"}", b"d", b";") and raw[c.start : c.start + 1].strip()
+
+    def inside(n):
+        for a, b in zip(n.children, n.children[1:]):
+            assert a.end <= b.start
+        for c in n.children:
+            assert n.start <= c.start <= c.end <= n.end
+            inside(c)
+
+    inside(root)
+    many = "".join(source if language != "php" else source.replace("<?php", "") for _ in range(40))
+    chunks = C.chunk_source(many, provider_for(language).parse(many))
+    assert len(chunks) > 3 and all(e - s <= 2000 for _, _, s, e, *_ in chunks) and any(c[6] for c in chunks)
+    assert all(many.encode()[s:e].decode() == t for _, _, s, e, t, *_ in chunks)
+
+
+@pytest.mark.parametrize("language", [*DECLARED, "javascript", "tsx", None])
+def test_broken_code_is_read(language):
+    for source in ("", "}}}{{{(((", "class A {", "'\"`", "def f(\n" * 50, "{" * 3000 + "x", "\u00fc {\u00e4;} \u65e5"):
+        root = provider_for(language).parse(source)
+        assert root.end == len(source.encode())
+        C.chunk_source(source, root)
+
+
+def test_dump(tmp_path):
+    from sonde.dump import dump
+
+    (tmp_path / "a.go").write_text(DECLARED["go"][0])
+    out = list(dump(str(tmp_path / "a.go")))
+    assert "go, read by Braced" in out[0] and any("definition" in x for x in out)
+
+
+def test_requests_that_fail_or_take_too_long(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    (root / "a.py").write_text("def parse_config():\n    return 1\n")
+    s = SearchSession(spark)
+    with pytest.raises(SearchError, match="more than 0.01 s"):
+        s.index(str(root), timeout=0.01)
+    assert s.prewarm(str(root), wait=False) and s.search("parse config", str(root), timeout=120).count() == 1
+    index = s.index(str(root))
+    index.chunks = index.chunks.withColumn("content", F.expr("raise_error('broken')"))
+    with pytest.raises(SearchError, match="broken"):
+        s.search("parse config", str(root))
+    s.shutdown()
