@@ -30,9 +30,11 @@ def encode(bags: DataFrame, model: DataFrame, dim: int) -> DataFrame:
     has = set(model.columns)
     lookup = model.select(F.col("token_id").alias("id"), (F.col("mapping") if "mapping" in has else F.col("token_id")).alias("row"), (F.col("sif") if "sif" in has else F.lit(1.0)).alias("w"))
     used = bags.select("key", F.explode("ids").alias("id")).join(lookup, "id")
-    parts = used.join(model.select(F.col("token_id").alias("row"), "embedding"), "row").select("key", "w", F.posexplode("embedding").alias("pos", "x"))
-    mean = parts.groupBy("key", "pos").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.count("*")).alias("x"))
-    vec = mean.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"))
+    parts = used.join(model.select(F.col("token_id").alias("row"), "embedding"), "row").select("key", F.struct("w", "embedding").alias("x"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    total = F.aggregate("x", zero, lambda s, e: F.zip_with(s, e["embedding"], lambda a, b: a + e["w"] * b.cast("double")))
+    # the rows of a bag, which is one chunk's tokens, come together whole
+    vec = parts.groupBy("key").agg(F.collect_list("x").alias("x")).select("key", F.transform(total, lambda v: v / F.size("x")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.array_repeat(F.lit(0.0), dim))
     return bags.select("key").distinct().join(vec, "key", "left").select("key", F.coalesce(unit, F.array_repeat(F.lit(0.0), dim)).alias("vector"))

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sonde.functions import text as T
 from sonde.functions import vectors as V
 from sonde.operators import bm25, fusion
+from sonde.plans import index as plans
 from sonde.plans.index import CodeIndex, as_json, formatted, percentile
 
 CORPUS = [(0, ["parse", "config"]), (1, ["parse", "json", "config"]), (2, ["render", "html"]), (3, ["config", "parser"])]
@@ -176,3 +178,28 @@ def test_save_and_load(spark, tmp_path):
 
 def test_percentile():
     assert percentile(list(range(30)), 0.5) == 15 and percentile([3.0], 0.95) == 3.0 and percentile([], 0.5) == 0.0
+
+
+def test_tokens_of_a_query_on_the_driver(spark):
+    texts = ["getHTTPResponse_v2 foo123bar __a__ XMLParser", "Foo::bar \u00fcber caf\u00e9 x\u0130y", "", "_", "a_B 9z __init__ HTTP2Request", "doc_7 parser core"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").orderBy("i").select(T.tokenize(F.col("x")).alias("t")).collect()]
+    assert got == [T.tokens_of(t) for t in texts]
+
+
+def test_plans_over_a_stored_index(spark, tmp_path, capsys, monkeypatch):
+    rows = [(i, f"src/f{i}.py", 1, 6, f"def parse_{i}(config): return token{i % 7}") for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_idx long, file_path string, start_line int, end_line int, content string")
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(300)], "chunk_idx long, embedding array<double>")
+    CodeIndex.from_chunks(spark, chunks, vectors=vectors).save(str(tmp_path / "i"))
+    i = CodeIndex.load(spark, str(tmp_path / "i"), vectors=True)
+    i.lexical_hits("parse token3", 5).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "In(term, [3,parse,token,token3])" in plan and "Join" not in plan and plan.count("Scan parquet") <= 2
+    i.chunks.where(T.any_of(F.col("chunk_idx"), list(range(25)))).explain("formatted")
+    assert "In(chunk_idx, [0,1,2" in capsys.readouterr().out
+    got = [r.file_path for r in i.search("parse token3", 5, vector=[1.0, 0.0]).collect()]
+    at_once = plans.AT_ONCE
+    monkeypatch.setattr(plans, "AT_ONCE", 0)
+    assert len(got) == 5 and got == [r.file_path for r in i.search("parse token3", 5, vector=[1.0, 0.0]).collect()]  # by way of the driver, and distributed
+    monkeypatch.setattr(plans, "AT_ONCE", at_once)
+    assert i.find_related("src/f3.py", 2, 4).count() == 4 and "src/f3.py" not in {r.file_path for r in i.find_related("src/f3.py", 2, 400).collect()}
