@@ -37,6 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch for operators that hand whole texts to Python: some 5 MB of documents, with copies in the JVM and the worker.
+BATCH = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_to_python(df: DataFrame) -> DataFrame:
+    """``df``, whose session makes Arrow batches of BATCH rows at most from now on; a lower setting stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH:
+        conf.set(_ROWS, BATCH)
+    return df
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as keep it apart from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

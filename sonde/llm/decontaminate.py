@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, free, lowered, words
+from .common import chunks, cut, free, lowered, texts_to_python, words
 
 
 class Automaton:
@@ -215,7 +215,7 @@ def _finder(docs: DataFrame, benchmark: DataFrame, text: str, item: str, part_mb
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[2][i] for r in rows], pa.int64()) for i in range(4))], ["key", "total", "w0", "w1", "b0", "b1"])
 
-        one = cut(each.mapInArrow(run, "key string, total long, w0 long, w1 long, b0 long, b1 long"))
+        one = cut(texts_to_python(each).mapInArrow(run, "key string, total long, w0 long, w1 long, b0 long, b1 long"))
         all_ = one if all_ is None else all_.union(one)
     found = cut(all_.groupBy("key").agg(F.struct(F.first("total").alias("total"), F.collect_set(F.struct("w0", "w1", "b0", "b1")).alias("at")).alias(spans)))
     docs = docs.join(found.withColumnRenamed("key", key), key, "left").drop(key)
@@ -263,7 +263,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_spans int, longest int, removed_words int, coverage double, spans array<struct<begin:int,end:int>>")
+    return texts_to_python(rows).mapInArrow(run, f"doc_id {kind}, n_spans int, longest int, removed_words int, coverage double, spans array<struct<begin:int,end:int>>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = None, drop_above: float = 0.8, item: str = "text", part_mb: float = PART_MB, **limits) -> DataFrame:
@@ -298,7 +298,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", cha
                 cols[size] = pa.array(n, b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, schema)
+    return texts_to_python(rows).mapInArrow(run, schema)
 
 
 def remove(text: str, spans: list[tuple[int, int]]) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, table
+from .common import free, table, texts_to_python
 
 #: Bytes of a window: the recurrence begins anew in each, in training and in use.
 WINDOW = 128
@@ -229,7 +229,7 @@ def _score(docs: DataFrame, net: Network | None, text: str) -> tuple[DataFrame,
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(found, T.StringType()), T.StructField(prob_name, T.DoubleType())])), found, prob_name
+    return texts_to_python(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(found, T.StringType()), T.StructField(prob_name, T.DoubleType())])), found, prob_name
 
 
 def identify(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, free, mix, small_join, words
+from .common import chunks, cut, free, mix, small_join, texts_to_python, words
 
 BITS = 256
 LANES = BITS // 64
@@ -59,7 +59,7 @@ def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(f[has, j]) for j in range(LANES))], ["doc_id", *FP])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fps = rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in FP))
+    fps = texts_to_python(rows).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in FP))
     return fps.groupBy("doc_id").agg(F.min(F.struct(*FP)).alias("f")).select("doc_id", *(F.col(f"f.{c}").alias(c) for c in FP))
 
 

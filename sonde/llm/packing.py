@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts_to_python
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, size: int = 2048, group_tokens: int = 4_000_000, token
         if items:
             yield from _slices(rows(items, part, first, id_type))
 
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, SCHEMA.format(kind=docs.schema[doc_id].dataType.simpleString()))
+    return texts_to_python(docs).select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, SCHEMA.format(kind=docs.schema[doc_id].dataType.simpleString()))
 
 
 def _slices(b: pa.RecordBatch, n: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, small_join, table
+from .common import chunks, cut, mix, small_join, table, texts_to_python
 
 ORDER = 5
 BITS = 12
@@ -109,7 +109,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             yield out(k)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts_to_python(rows).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def model_table(counts: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang string, n long, log_ppl double")
+    return texts_to_python(rows).mapInArrow(run, f"doc_id {kind}, lang string, n long, log_ppl double")
 
 
 def _widths(z: DataFrame, labels: DataFrame | None, budget: float, widths: tuple[float, float], least_labels: int) -> DataFrame:

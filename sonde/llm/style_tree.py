@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, texts_to_python
 from .line_dedup import host_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>|<[!?][^>]*>", re.S | re.I)
@@ -142,7 +142,7 @@ def observe(pages: DataFrame, deep: int = DEEP) -> DataFrame:
         if held:
             yield out()
 
-    found = pages.mapInArrow(run, "host string, e long, up long, depth int, branch long, kind byte, s long, kids int, n long, q double")
+    found = texts_to_python(pages).mapInArrow(run, "host string, e long, up long, depth int, branch long, kind byte, s long, kids int, n long, q double")
     return found.groupBy("host", "e", "up", "depth", "branch", "kind", "s", "kids").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
 
 
@@ -313,7 +313,7 @@ def extract(pages: DataFrame, threshold: float = 0.4, gamma: float = 0.9, least_
                 gone.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(gone, pa.int32())], ["page_id", "host", "text", "n_removed"])
 
-    return rows.mapInArrow(run, f"page_id {kind}, host string, text string, n_removed int")
+    return texts_to_python(rows).mapInArrow(run, f"page_id {kind}, host string, text string, n_removed int")
 
 
 def _with_drops(rows: DataFrame, low: DataFrame) -> DataFrame:
