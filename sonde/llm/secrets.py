@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts_to_python
 
 WINDOW = 20
 #: Class of a candidate: what it must match as a whole, and the window entropy (bits a character) from which it is a secret.
@@ -114,28 +114,50 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "begin", "end", "kind", "entropy", "masked"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, begin int, end int, kind string, entropy double, masked string")
+    return texts_to_python(docs).select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, begin int, end int, kind string, entropy double, masked string")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-OP3_SQL = r"""
+def _sql_kind(s: str, upper: bool = False) -> str:
+    """Class of ``s`` in SQL; with ``upper`` that of a value."""
+    capitals = f"WHEN regexp_full_match({s}, '[A-Z0-9]+') AND regexp_matches({s}, '[0-9]') AND regexp_matches({s}, '[A-Z]') THEN 'upper' " if upper else ""
+    return f"CASE WHEN regexp_full_match({s}, '[0-9a-fA-F]+') AND regexp_matches({s}, '[0-9]') AND regexp_matches({s}, '[a-fA-F]') THEN 'hex' {capitals}WHEN regexp_matches({s}, '[0-9]') AND regexp_matches({s}, '[A-Za-z]') THEN 'base64' END"
+
+
+def _sql_allowed(s: str) -> str:
+    return f"regexp_matches({s}, '(?i:example|dummy|placeholder|x{{6}}|abcdefghij)|0123456789|^sha(?:1|256|384|512)-')"
+
+
+_SQL_ENTROPY = "list_max(list_transform(range(1, length(s) - 18), lambda j: list_entropy(string_split(substr(s, j, 20), ''))))"
+_SQL_SECRET = "coalesce(h >= CASE kind WHEN 'hex' THEN 2.9 WHEN 'upper' THEN 3.2 ELSE 3.9 END, false)"
+OP3_SQL = f"""
 WITH pieces AS (
   SELECT row_number() OVER () AS r, doc_id, string_split_regex(text, '[^A-Za-z0-9+/=_-]') AS p FROM documents),
 placed AS (
   SELECT r, doc_id, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS i FROM pieces),
 spans AS (
   SELECT r, doc_id, i, s, coalesce(sum(length(s) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM placed),
-kinds AS (
-  SELECT *, CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-fA-F]') THEN 'hex'
-                 WHEN regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') THEN 'base64' END AS kind
-  FROM spans WHERE length(s) >= 20 AND NOT regexp_matches(s, '(?i:example|dummy|placeholder|x{6}|abcdefghij)|0123456789|^sha(?:1|256|384|512)-')),
-scored AS (
-  SELECT doc_id, begin, s, kind, list_max(list_transform(range(1, length(s) - 18), lambda j: list_entropy(string_split(substr(s, j, 20), '')))) AS h
-  FROM kinds WHERE kind IS NOT NULL)
+runs AS (
+  SELECT r, doc_id, i, s, begin, CASE WHEN NOT {_sql_allowed("s")} THEN {_sql_kind("s")} END AS kind FROM spans WHERE length(s) >= 20),
+scored AS (SELECT *, CASE WHEN kind IS NOT NULL THEN {_SQL_ENTROPY} END AS h FROM runs),
+parts AS (
+  SELECT r, i, doc_id, begin, unnest(string_split(s, '=')) AS v, generate_subscripts(string_split(s, '='), 1) AS n FROM scored WHERE NOT {_SQL_SECRET}),
+offsets AS (
+  SELECT *, begin + coalesce(sum(length(v) + 1) OVER (PARTITION BY r, i ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM parts),
+named AS (SELECT *, regexp_extract(v, '^(?:[A-Za-z]{{2,8}}[_-]){{1,3}}') AS name FROM offsets WHERE v <> '' AND NOT {_sql_allowed("v")}),
+vals AS (
+  SELECT r, i, n, doc_id, 0 AS o, place, v AS s FROM named UNION ALL
+  SELECT r, i, n, doc_id, 1 AS o, place + length(name), substr(v, length(name) + 1) FROM named WHERE name <> ''),
+kinds AS (SELECT *, {_sql_kind("s", True)} AS kind FROM vals WHERE length(s) >= 20 AND NOT {_sql_allowed("s")}),
+judged AS (SELECT *, CASE WHEN kind IS NOT NULL THEN {_SQL_ENTROPY} END AS h FROM kinds),
+first AS (SELECT *, row_number() OVER (PARTITION BY r, i, n ORDER BY o) AS nth FROM judged WHERE {_SQL_SECRET}),
+found AS (
+  SELECT doc_id, begin, s, kind, h FROM scored WHERE {_SQL_SECRET} UNION ALL
+  SELECT doc_id, place, s, kind, h FROM first WHERE nth = 1)
 SELECT doc_id, CAST(begin AS INTEGER) AS begin, CAST(begin + length(s) AS INTEGER) AS "end", kind, round(h, 6) AS entropy,
        substr(s, 1, 4) || '*' || length(s) AS masked
-FROM scored WHERE h >= CASE kind WHEN 'hex' THEN 2.9 ELSE 3.9 END
+FROM found
 """

@@ -3,6 +3,9 @@ import random
 import string
 from collections import Counter
 
+import duckdb
+import pandas as pd
+
 from sonde.llm import secrets as S
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -31,6 +34,19 @@ def test_scan(spark):
     assert S.scan_secrets(df, allow_list=[HEX]).count() == 1 and S.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_sql():
+    rng, b62 = random.Random(1), string.ascii_letters + string.digits
+    rnd = lambda a, n: "".join(rng.choices(a, k=n))
+    rows = []
+    for i in range(400):
+        forms = [f"AKIA{rnd(string.ascii_uppercase + string.digits, 16)}", f"token={rnd('0123456789abcdef', 40)}", f"sk_live_{rnd(b62, 24)}", f"x=y={rnd(b62, 30)}=={rnd('01', 25)}", rnd(b62, 22), f"example_api_key={rnd(b62, 30)}", f"sha256-{rnd(b62, 30)}", "a" * 30 + "1", f"AB-CD_{rnd(string.ascii_uppercase + '234567', 20)}", rnd("abc=-_1", 40)]
+        rows.append((i, " ".join(["text", *rng.sample(forms, 4), "ü"])))
+    documents = pd.DataFrame([*rows, (None, None), (400, "")], columns=["doc_id", "text"])
+    scanner = S.Scanner()
+    got = [(i, b, e, k, round(h, 6), f"{x[:4]}*{len(x)}") for i, t in rows for b, e, k, h, x in scanner.scan(t)]
+    assert len(documents) == 402 and got and sorted(got) == sorted(duckdb.sql(S.OP3_SQL).fetchall())
+
+
 def test_found_shares_of_random_keys_of_each_form():
     rng, scanner, hexa, b62 = random.Random(2), S.Scanner(), "0123456789abcdef", string.ascii_letters + string.digits
     forms = (("AKIA", string.ascii_uppercase + string.digits, 16, 0.95), ("AKIA", string.ascii_uppercase + "234567", 16, 0.95), ("api_key=", hexa, 32, 0.97), ("token=", hexa, 40, 0.97), ("sk_", hexa, 32, 0.97), ("example_api_key=", hexa, 40, 0.97), ("", b62, 20, 0.75), ("", hexa, 40, 0.97))
