@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,10 @@ from pyspark.sql import types as T
 _P = 0x9E3779B97F4A7C15
 _PI = pow(_P, -1, 1 << 64)
 _POW = {"n": 0}
-#: Bytes of lower-cased UTF-8 text that belong to words: ASCII letters and digits, and all of any non-ASCII character.
+#: Bytes of lower-cased text in ASCII and Latin-1 that belong to words: letters and digits; of the latter's marks see :func:`_words`.
 WORD = np.array([(48 <= b <= 57) or (97 <= b <= 122) or b >= 128 for b in range(256)])
+#: Blocks of scripts that are written without blanks between words.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -98,22 +102,47 @@ def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int,
         yield lo, len(texts)
 
 
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """Of each code point: 0 for what is no word, 1 for letters, digits and marks, 2 for characters that are words of their own."""
+    out = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)], np.uint8)
+    for a, b in UNSPACED:
+        out[a : b + 1] *= 2
+    return out
+
+
+def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word in UTF-8 bytes. Only text beyond Latin-1's letters needs its code points."""
+    if not ((buf == 0xC2) | (buf >= 0xC4)).any():
+        is_word = WORD[buf]
+        if (buf >= 128).any():
+            sign = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))  # times and divided by
+            is_word[sign] = is_word[sign + 1] = False
+        edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
+        if is_word[0]:
+            edge = np.concatenate([[0], edge])
+        return edge[0::2], edge[1::2]
+    cp = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+    kind = _classes()[cp]
+    at = np.append(0, np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)))
+    before, after = np.append(0, kind[:-1]), np.append(kind[1:], 0)
+    begin = (kind > 0) & ((kind == 2) | (before != 1))
+    end = (kind > 0) & ((kind == 2) | (after != 1))
+    return at[:-1][begin], at[1:][end]
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word of each text, vectorised over all of them.
 
     Gives (hash uint64, start byte, end byte, bounds, base): the words of text i are bounds[i]:bounds[i+1], its
-    bytes begin at base[i] of the joined buffer. A word is a maximal run of letters, digits and non-ASCII
-    characters, lower-cased. A null counts as an empty text.
+    bytes begin at base[i] of the joined buffer. A word is a maximal run of letters, digits and combining marks of any
+    script, lower-cased; in scripts without blanks between words every character is one. A null counts as an empty text.
     """
     parts = [lowered(t) if t else b"" for t in texts]
     base = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=base[1:])
     buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    is_word = WORD[buf]
-    edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-    if is_word[0]:
-        edge = np.concatenate([[0], edge])
-    start, end = edge[0::2], edge[1::2]
+    start, end = _words(buf)
     p, q = _powers(len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p, out=total[1:])

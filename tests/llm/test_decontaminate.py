@@ -94,9 +94,9 @@ def test_items_in_parts_give_the_same(spark):
     docs, bench = frames(spark)
     docs = docs.union(docs.where("doc_id = 1"))
     for f in (D.contamination, D.decontaminate):
-        whole, parts = (sorted(map(str, f(docs, bench, part_mb=mb).collect())) for mb in (6, 40 / (1 << 20)))
+        whole, parts = (sorted(map(str, f(docs, bench, part_mb=mb).collect())) for mb in (6, 60 / (1 << 20)))
         assert whole == parts and whole
-        assert f(docs.limit(0), bench, part_mb=1e-6).count() == 0
+        assert f(docs.limit(0), bench, part_mb=60 / (1 << 20)).count() == 0
 
 
 def test_short_items_are_whole_lines(spark):
