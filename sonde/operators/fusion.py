@@ -105,6 +105,25 @@ def _define_boost(c: DataFrame, chunks: DataFrame, names: list[str], unit: float
     return both.where("n = 1").withColumn("s", F.col("s") + F.lit(unit) * F.col("top") * F.col("tier")).where("promoted = 0 or s > 0").select(*c.columns)
 
 
+def symbol_names(query: str) -> tuple[list[str], Column]:
+    """Names that a symbol query may be defined by, and which files (over ``stem``) are called after it."""
+    q = query.strip()
+    name = next((q.split(sep)[-1] for sep in ("::", "\\", "->", ".") if sep in q), q)
+    return sorted({name, q}), T.stem_matches(F.col("stem"), F.lit(name.lower()))
+
+
+def path_words(query: str) -> list[str]:
+    """T16 of a query that the driver knows."""
+    words = [w.lower() for w in re.findall(T.IDENTIFIER, query) if len(w) > 2]
+    return sorted({w for w in words if w not in T.STOPWORDS})
+
+
+def embedded(query: str) -> tuple[list[str], Column | None]:
+    """Camel-case words of a query, and which files (over ``stem``) are called after one."""
+    symbols = sorted(set(re.findall(T.EMBEDDED, query)))
+    return symbols, T.embedded_stem_matches(F.col("stem"), F.array(*(F.lit(s) for s in sorted({s.lower() for s in symbols})))) if symbols else None
+
+
 def query_boost(c: DataFrame, chunks: DataFrame, query: str | None, promote: DataFrame | None = None) -> DataFrame:
     """Definition, path and embedded-symbol boosts for a query that the driver knows.
 
@@ -114,20 +133,16 @@ def query_boost(c: DataFrame, chunks: DataFrame, query: str | None, promote: Dat
     c = c.withColumns({"top": F.max("s").over(_all()), "promoted": F.lit(0)})
     if not query or not query.strip():
         return c
-    q = query.strip()
     if is_symbol(query):
-        name = next((q.split(sep)[-1] for sep in ("::", "\\", "->", ".") if sep in q), q)
-        near = T.stem_matches(F.col("stem"), F.lit(name.lower()))
-        return _define_boost(c, chunks, sorted({name, q}), 3.0, near, promote)
-    words = [w.lower() for w in re.findall(T.IDENTIFIER, query) if len(w) > 2]
-    keep = sorted({w for w in words if w not in T.STOPWORDS})
+        names, near = symbol_names(query)
+        return _define_boost(c, chunks, names, 3.0, near, promote)
+    keep = path_words(query)
     if keep:
         arr = F.array(*(F.lit(w) for w in keep))
         ratio = T.keyword_matches(arr, T.path_parts(F.col("file_path"))) / float(len(keep))
         c = c.withColumn("s", F.col("s") + F.when(ratio >= 0.1, F.col("top") * ratio).otherwise(F.lit(0.0)))
-    symbols = sorted(set(re.findall(T.EMBEDDED, query)))
+    symbols, near = embedded(query)
     if symbols:
-        near = T.embedded_stem_matches(F.col("stem"), F.array(*(F.lit(s) for s in sorted({s.lower() for s in symbols}))))
         c = _define_boost(c, chunks, symbols, 1.5, near, promote)
     return c
 

@@ -12,14 +12,13 @@ from pyspark.sql import types as S
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.wordpiece import WordPiece, token_ids
-from ..operators import bm25, fusion
+from ..operators import at_once, bm25, fusion
 from ..sources.model_files import StaticModel
 
 CHUNK = S.StructType(
     [S.StructField("file_path", S.StringType()), S.StructField("language", S.StringType()), *(S.StructField(c, S.IntegerType()) for c in ("start_line", "end_line", "start_byte", "end_byte")), S.StructField("content", S.StringType()), S.StructField("node_type", S.StringType()), S.StructField("is_definition", S.BooleanType())]
 )
 COLUMNS = ["file_path", "start_line", "end_line", "score", "content"]
-RESULT_CHUNK = "file_path string, start_line int, end_line int, content string"
 #: Results up to which a search is answered on the driver once its hits are known.
 AT_ONCE = 1000
 RESULT = "file_path string, start_line int, end_line int, score double, content string"
@@ -127,24 +126,24 @@ class CodeIndex:
     def _fused(self, lex: DataFrame, den: DataFrame, scope: DataFrame, options: fusion.FusionOptions) -> DataFrame:
         """Results of two hit lists over ``scope``.
 
-        Up to AT_ONCE results the hits, over-fetched ten for a result at most, are taken to the driver with their chunks, read by their ids;
-        all that follows is one small partition, and the result's rows are there when this returns. Larger ones stay distributed and lazy.
+        Up to AT_ONCE results the hits, over-fetched ten for a result at most, are taken to the driver with their chunks, read by their ids,
+        and ranked there (:mod:`at_once`); the result's rows are there when this returns. Larger ones stay distributed and lazy.
         """
         if options.top_k > AT_ONCE:
             return fusion.fuse(lex, den, scope, options).select(*COLUMNS)
         hits = lex.select(F.lit(0).alias("l"), "chunk_idx", "score", "rank").union(den.select(F.lit(1), "chunk_idx", "score", "rank")).collect()
-        here = self._rows(scope, sorted({h["chunk_idx"] for h in hits}))
-        one = lambda rows, schema: self.spark.createDataFrame(rows, schema).coalesce(1)
-        lists = [one([tuple(h)[1:] for h in hits if h["l"] == l], "chunk_idx long, score double, rank int") for l in (0, 1)]
-        top = fusion.ranking(*lists, one(here, f"chunk_idx long, {RESULT_CHUNK}"), options, promote=scope).orderBy("rank").collect()
-        known = {r[0]: r for r in [*here, *self._rows(scope, sorted({t["chunk_idx"] for t in top} - {r[0] for r in here}))]}
-        found = [(known[t["chunk_idx"]], t["score"]) for t in top]
-        return one([(path, first, last, score, content) for (_, path, first, last, content), score in found], RESULT)
-
-    def _rows(self, scope: DataFrame, ids: list[int]) -> list[tuple]:
+        known = self._rows(scope, sorted({h["chunk_idx"] for h in hits}))
+        lists = [[tuple(h)[1:] for h in hits if h["l"] == l] for l in (0, 1)]
+        top = at_once.ranking(*lists, {i: (path, first, content) for i, (path, first, _, content) in known.items()}, options, scope)
+        known |= self._rows(scope, sorted({i for i, _ in top} - known.keys()))
+        found = [(*known[i][:3], score, known[i][3]) for i, score in top]
+        return self.spark.createDataFrame(found, RESULT).coalesce(1)
+
+    def _rows(self, scope: DataFrame, ids: list[int]) -> dict[int, tuple]:
+        """(file_path, start_line, end_line, content) of chunks by their number."""
         if not ids:
-            return []
-        return [tuple(r) for r in scope.where(T.any_of(F.col("chunk_idx"), ids)).select("chunk_idx", "file_path", "start_line", "end_line", "content").collect()]
+            return {}
+        return {r[0]: tuple(r)[1:] for r in scope.where(T.any_of(F.col("chunk_idx"), ids)).select("chunk_idx", "file_path", "start_line", "end_line", "content").collect()}
 
     def search(self, query: str, top_k: int = 8, filter_paths: list[str] | None = None, alpha: float | None = None, vector: list[float] | None = None, rerank: bool = True) -> DataFrame:
         """Results of a free-text query, best first. An empty list of paths, a blank query or top_k < 1 give none."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sonde.functions import text as T
 from sonde.functions import vectors as V
-from sonde.operators import bm25, fusion
+from sonde.operators import at_once, bm25, fusion
 from sonde.plans import index as plans
 from sonde.plans.index import CodeIndex, as_json, formatted, percentile
 
@@ -203,3 +203,27 @@ def test_plans_over_a_stored_index(spark, tmp_path, capsys, monkeypatch):
     assert len(got) == 5 and got == [r.file_path for r in i.search("parse token3", 5, vector=[1.0, 0.0]).collect()]  # by way of the driver, and distributed
     monkeypatch.setattr(plans, "AT_ONCE", at_once)
     assert i.find_related("src/f3.py", 2, 4).count() == 4 and "src/f3.py" not in {r.file_path for r in i.find_related("src/f3.py", 2, 400).collect()}
+
+
+def test_fusion_on_the_driver_equals_the_distributed_one(spark):
+    rng = random.Random(8)
+    paths = ["src/parse_config.py", "tests/test_parse.py", "src/compat/old.py", "a\\\\b\\\\parsers.d.ts", "lib/__init__.py", "docs_src/config.md", "fooBar.js", "x"]
+    bodies = ["class parseConfig:\n  pass", "def run():", "x\u00a0=\u00a0function parseConfig(", "type\tFooBar {", "create table parseconfig (", "see parseConfig", "fn fooBar<T>", "func a.b::parseConfig\u0085"]
+    rows = [(i, rng.choice(paths), rng.randrange(4), rng.choice(bodies)) for i in range(60)]
+    chunks = chunk_table(spark, [r[1:] for r in rows]).cache()
+    known = {i: (f, line, c) for i, f, line, c in rows}
+    for query in ("parseConfig", "a::parseConfig", "where is parseConfig or fooBar in the config parser", "the", "", None):
+        for rerank in (True, False):
+            lists = [[(i, round(rng.uniform(0, 3), 1), n + 1) for n, i in enumerate(rng.sample(range(40), k))] for k in (9, 12)]
+            options = fusion.FusionOptions(14, query=query, rerank=rerank, alpha=rng.choice((None, 0.0, 1.0)))
+            want = fusion.ranking(*(spark.createDataFrame(x, "chunk_idx long, score double, rank int") for x in lists), chunks, options).orderBy("rank").collect()
+            got = at_once.ranking(*lists, known, options, chunks)
+            assert got == [(r.chunk_idx, r.score) for r in want], (query, rerank)
+    assert at_once.ranking([], [], known, fusion.FusionOptions(5, query="parseConfig"), chunks) == []
+    chunks.unpersist()
+
+
+def test_text_functions_on_the_driver(spark):
+    paths = ["a/b/c_test.go", "src/test_x.py", "x/testing/y.java", "legacy/z.rb", "examples/e.ts", "a.d.ts", "package-info.java", "__init__.py", ".hidden", "a.b.c", "", "dir/", "a\\\\B2C\\\\HTTPServer_v2.kt", "spec/a.rb", "docs_src/x.py"]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").orderBy("i").select(T.path_stem(F.col("p")).alias("stem"), T.parent_name(F.col("p")).alias("parent"), T.path_parts(F.col("p")).alias("parts"), T.path_penalty(F.col("p")).alias("penalty")).collect()
+    assert [(r.stem, r.parent, set(r.parts), round(r.penalty, 9)) for r in got] == [(at_once.path_stem(p), at_once.parent_name(p), at_once.path_parts(p), round(at_once.path_penalty(p), 9)) for p in paths]
