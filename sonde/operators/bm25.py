@@ -6,6 +6,7 @@ query's few terms to the postings, so only matching postings are read, and ranks
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -83,20 +84,25 @@ def score(index: Bm25, queries: DataFrame, only: DataFrame | None = None, few: b
     return hits.groupBy("query_id", "chunk_idx").agg(F.round(F.sum(part), PLACES).alias("score"))
 
 
+def _among(terms: list[str]) -> Column:
+    """:func:`T.any_of` over ``term`` in one expression, as a query may be a whole chunk of terms."""
+    return F.expr(" OR ".join("term IN (" + ", ".join(f"'{t}'" for t in terms[i : i + 10]) + ")" for i in range(0, len(terms), 10)))
+
+
 def top(index: Bm25, terms: list[str], k: int, only: DataFrame | None = None) -> DataFrame:
     """(chunk_idx, score, rank): the best ``k`` chunks for the terms of one query, which the driver knows.
 
     Terms and their frequencies become literals, so that both statistics tables are read under a pushed filter and nothing is joined.
     """
-    wanted = sorted(set(terms))
-    known = {r["term"]: r["df"] for r in index.terms.where(T.any_of(F.col("term"), wanted)).collect()} if wanted else {}
+    wanted = sorted({t for t in terms if re.fullmatch("[a-z0-9_]+", t)})  # no token has other characters
+    known = {r["term"]: r["df"] for r in index.terms.where(_among(wanted)).collect()} if wanted else {}
     if not known:
         return index.postings.where(F.lit(False)).select("chunk_idx", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     n, avg = index.numbers
     postings = index.postings if only is None else index.postings.join(only, "chunk_idx", "left_semi")
-    df = F.create_map(*(F.lit(x) for t, d in known.items() for x in (t, d)))[F.col("term")]
+    df = F.expr("map(" + ", ".join(f"'{t}', {d}L" for t, d in known.items()) + ")[term]")
     part = weight(index, F.col("tf"), df, F.col("doc_len"), F.lit(n), F.lit(avg))
-    scores = postings.where(T.any_of(F.col("term"), sorted(known))).groupBy("chunk_idx").agg(F.round(F.sum(part), PLACES).alias("score"))
+    scores = postings.where(_among(sorted(known))).groupBy("chunk_idx").agg(F.round(F.sum(part), PLACES).alias("score"))
     return best(scores, k)
 
 
