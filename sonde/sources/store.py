@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class ChunkStore:
-    """Parquet files, one row for each source file: its key and its chunks. Each write adds a generation; the newest row of a path counts."""
+    """Parquet files, one row for each source file: its key and its chunks. Each write adds a generation; the newest row of a key counts, if its path wasn't removed since."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -41,8 +41,11 @@ class ChunkStore:
             rows = self.spark.read.schema(SCHEMA + ", generation string").option("ignoreCorruptFiles", "true").parquet(self.folder)
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMA)
-        n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("mtime_ms"), F.desc("generation")))
-        return rows.withColumn("n", n).where("n = 1").drop("n", "generation")
+        rows = rows.withColumn("made", F.concat(*(F.substring("generation", at, n) for at, n in ((13, 4), (9, 4), (1, 8)))))  # a uuid1 has its low digits first
+        gone = F.max(F.when(F.col("size") == -1, F.col("made"))).over(Window.partitionBy("path"))
+        n = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("made"), F.desc("generation")))
+        kept = rows.withColumn("gone", gone).where("size >= 0 and (gone is null or made > gone)")
+        return kept.withColumn("n", n).where("n = 1").drop("n", "generation", "made", "gone")
 
     def split(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(hits with their chunks, misses) of a listing; a hit has the same path, time, size and chunker version."""
@@ -56,7 +59,7 @@ class ChunkStore:
         rows.write.mode("append").parquet(f"{self.folder}/generation={uuid.uuid1().hex}")
 
     def remove(self, paths: list[str]) -> None:
-        """Marks paths as gone; their key never matches a listing."""
+        """Marks paths as gone; what was added of them before never matches a listing."""
         gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
         self.add(gone.select("path", F.lit((1 << 62)).cast("long").alias("mtime_ms"), F.lit(-1).cast("long").alias("size"), F.array().cast(CHUNKS).alias("chunks")))
 

@@ -49,6 +49,24 @@ def test_byte_slice_of_odd_texts(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.sql(entry.oracle_sql()["p7_byte_slice"]).fetchall())
 
 
+def against_sql(spark, folder, name, **tables):
+    """Rows of a query over small tables and those of its SQL."""
+    con = duckdb.connect()
+    for table, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(folder))
+    cur = con.sql(entry.oracle_sql()[name])
+    at = [cur.columns.index(c) for c in df.columns]
+    return sorted(repr([norm(x) for x in r]) for r in df.collect()), sorted(repr([norm(r[i]) for i in at]) for r in cur.fetchall())
+
+
+def test_pages_of_one_url(spark, tmp_path):
+    pages = [(i, f"http://a.example/{i % 3}" if i % 17 else None, "x" * (i % 4) if i % 19 else None) for i in range(60)]
+    got, want = against_sql(spark, tmp_path, "j11_cache_hit_miss", pages=(pages, "page_id long, url string, html string"))
+    assert got == want and sum("True" in r for r in got) > 20
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 8
 

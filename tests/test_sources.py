@@ -134,6 +134,19 @@ def test_store_and_index(spark, tmp_path):
     assert S.from_json(S.to_json(CodeIndex.from_path(spark, root).chunks)).count() == 3
 
 
+def test_store_keeps_every_key_of_a_path(spark, tmp_path):
+    store = S.ChunkStore(spark, str(tmp_path / "store"))
+    rows = lambda *times: spark.createDataFrame([("a.py", t, 5, []) for t in times], f"path string, mtime_ms long, size long, chunks {S.CHUNKS}")
+    found = lambda *times: sorted(r.mtime_ms for r in store.split(rows(*times).drop("chunks"))[0].collect())
+    store.add(rows(1, 2))
+    store.add(rows(2, 3))
+    assert found(1, 2, 3, 4) == [1, 2, 3]
+    store.remove(["a.py"])
+    assert found(1, 2, 3, 4) == []
+    store.add(rows(2))
+    assert found(1, 2, 3, 4) == [2]
+
+
 def test_quarantine(spark, tmp_path):
     tree(tmp_path, PROJECT)
     rows = {r.file_path: r for r in W.read_sources(W.listing(spark, str(tmp_path))).collect()}
