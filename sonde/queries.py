@@ -257,7 +257,7 @@ def t18(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, items = F.col("file_path"), read(spark, sf_dir, "benchmark")
     n = F.broadcast(items.agg((F.max("item_id") + 1).alias("n")))  # one row
     places = _paths(spark, sf_dir).crossJoin(n).select("page_id", (F.col("page_id") % F.col("n")).alias("item_id"), T.path_parts(p).alias("parts"), F.concat(T.path_stem(p), F.lit("@"), T.parent_name(p)).alias("place"))
-    q = items.select("item_id", F.concat(T.keywords(F.col("text")), F.array(F.lit("thing"), F.lit("core"), F.lit("par"))).alias("ks"))
+    q = items.select("item_id", F.concat(F.coalesce(T.keywords(F.col("text")), F.array().cast("array<string>")), F.array(F.lit("thing"), F.lit("core"), F.lit("par"))).alias("ks"))
     return q.join(places, "item_id").select("page_id", "item_id", "place", T.keyword_matches(F.col("ks"), F.col("parts")).cast("long").alias("matches"))
 
 

@@ -67,6 +67,13 @@ def test_pages_of_one_url(spark, tmp_path):
     assert got == want and sum("True" in r for r in got) > 20
 
 
+def test_keywords_given_twice(spark, tmp_path):
+    items = [(0, "par thing of core"), (1, "the and"), (2, None), (3, ""), (4, "compat THING theThing of_ of par par"), (5, "th Of e")]
+    pages = [(i, f"http://a.example/{i}" if i % 11 else None, "") for i in range(48)]
+    got, want = against_sql(spark, tmp_path, "t18_keyword_overlap", benchmark=(items, "item_id long, text string"), pages=(pages, "page_id long, url string, html string"))
+    assert got == want and len(got) == 48
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 8
 
