@@ -132,7 +132,8 @@ def s_terms(text: str) -> str:
 
 def _lexical(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, bm25.Bm25]:
     chunks = corpus(spark, sf_dir)
-    return chunks, bm25.build(bm25.token_table(chunks), **how)
+    repeated = not chunks.groupBy("chunk_idx").count().where("count > 1").isEmpty()
+    return chunks, bm25.build(bm25.token_table(chunks), **how) if repeated else bm25.of_chunks(chunks, **how)
 
 
 _STORED: dict[tuple[str, str], str] = {}

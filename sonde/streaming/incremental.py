@@ -11,7 +11,7 @@ from ..operators import bm25
 
 def append_batch(chunks: DataFrame, batch_id: int, folder: str) -> None:
     """Postings of a micro-batch under its number; a batch that is run again replaces its own output."""
-    index = bm25.build(bm25.token_table(chunks))
+    index = bm25.of_chunks(chunks)
     index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
 

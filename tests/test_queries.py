@@ -74,6 +74,16 @@ def test_keywords_given_twice(spark, tmp_path):
     assert got == want and len(got) == 48
 
 
+@pytest.mark.parametrize("name", ["a1_corpus_stats", "a2_term_df", "a3_term_tf", "a4_bm25_params", "u5_path_overlap", "k1_bm25_batch", "j7_rrf_fuse"])
+def test_texts_that_are_missing(spark, tmp_path, name):
+    texts = ["the erth of doc_7 tion", None, "", "tion Doc7Parser théParser the", "the the", "\n", None, "erthOf x_y 3d"] * 3
+    rows = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(texts)]
+    vectors = [(i, [float((i * j) % 5 - 2) for j in range(64)], 0) for i in range(120)]
+    items = [(0, "the tion"), (1, None), (2, "doc parser"), (3, "zzz")]
+    got, want = against_sql(spark, tmp_path, name, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"), embeddings=(vectors, "vec_id long, embedding array<float>, label int"), benchmark=(items, "item_id long, text string"))
+    assert got == want and got
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 8
 

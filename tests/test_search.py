@@ -43,6 +43,58 @@ def test_bm25_statistics_and_parameters(spark):
     assert empty.corpus.first().avg_len == 0 and bm25.score(empty, terms(spark, "x")).count() == 0
 
 
+def some_chunks(spark, n, seed=3):
+    """Chunks of odd words, some without text."""
+    rng = random.Random(seed)
+    pieces = ["parseConfig", "XMLParser", "my_func", "__x", "a1b2", "HTTP2Server", "the", "é", "日本x", "\u2028", "1abc", "_", "ABCd", "\n", "doc_7", "\x00y"]
+    texts = [None if i % 13 == 5 else "".join(rng.choice(pieces) + rng.choice(["", " ", "."]) for _ in range(rng.randrange(40))) for i in range(n)]
+    return spark.createDataFrame([(i, f"src/a{i % 3}/fileName_{i}.py", i, i + 1, t) for i, t in enumerate(texts)], "chunk_idx long, file_path string, start_line int, end_line int, content string")
+
+
+def test_postings_are_counted_where_chunks_are_read(spark):
+    chunks = some_chunks(spark, 60).repartition(3)
+    a, b = bm25.of_chunks(chunks), bm25.build(bm25.token_table(chunks))
+    for x, y in ((a.postings, b.postings), (a.terms, b.terms)):
+        assert sorted(map(tuple, x.select(*y.columns).collect())) == sorted(map(tuple, y.collect()))
+    total = sum(r.tf for r in a.postings.collect())
+    assert a.corpus.first().asDict() == {"n_docs": 60, "avg_len": total / chunks.where("content is not null").count()}
+    plan = bm25.of_chunks(some_chunks(spark, 5)).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert bm25.of_chunks(chunks.limit(0)).corpus.first().asDict() == {"n_docs": 0, "avg_len": 0.0}
+
+
+def test_saving_makes_postings_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    chunks = some_chunks(spark, 40)
+    index = bm25.of_chunks(chunks)
+    postings = index.postings.mapInArrow(seen, index.postings.schema)
+    CodeIndex(spark, chunks, bm25.Bm25(postings, bm25.frequencies(postings), index.corpus)).save(str(tmp_path / "i"))
+    got = CodeIndex.load(spark, str(tmp_path / "i")).lexical
+    assert made.value == got.postings.count() == index.postings.count()
+    assert sorted(got.terms.collect()) == sorted(index.terms.collect()) and got.corpus.first() == index.corpus.first()
+
+
+@pytest.mark.parametrize(("held", "batched", "literals"), [(1 << 21, 1 << 20, 100), (7, 1 << 20, 2), (1 << 21, 3, 100)])
+def test_batch_of_queries(spark, monkeypatch, held, batched, literals):
+    index = bm25.of_chunks(some_chunks(spark, 200))
+    queries = spark.createDataFrame([(f"q{i % 7}", t) for i, t in enumerate(["parse", "config", "the", "my_func", "x", "doc_7", "7", "none", "py", "src", None, "py", "the", "http"] * 3)] + [("r", "nowhere")], "query_id string, term string")
+    want = sorted(map(tuple, bm25.ranked(bm25.score(index, queries), 5).select("query_id", "chunk_idx", "score", "rank").collect()))
+    for name, value in (("HELD", held), ("BATCHED", batched), ("LITERALS", literals), ("CHUNKS", 30)):
+        monkeypatch.setattr(bm25, name, value)
+    got = sorted(map(tuple, bm25.top_many(index, queries, 5).select("query_id", "chunk_idx", "score", "rank").collect()))
+    assert got == want and len(got) == 35
+    assert bm25.top_many(index, queries.where("term = 'nowhere'"), 5).count() == 0
+    alike = [(r.chunk_idx, r.score, r["rank"]) for r in bm25.top(index, ["parse", "config", "the", "py"], 9).collect()]
+    monkeypatch.setattr(bm25, "LITERALS", 100 if literals == 2 else 2)
+    assert alike == [(r.chunk_idx, r.score, r["rank"]) for r in bm25.top(index, ["parse", "config", "the", "py"], 9).collect()]
+
+
 def chunk_table(spark, rows):
     return spark.createDataFrame([(i, f, line, line + 5, c) for i, (f, line, c) in enumerate(rows)], "chunk_idx long, file_path string, start_line int, end_line int, content string")
 
