@@ -52,7 +52,7 @@ class CodeIndex:
         if vectors is None and model is not None:
             bags = chunks.select(F.col("chunk_idx").alias("key"), token_ids(F.col("content"), tokenizer).alias("ids"))
             vectors = V.encode_arrow(bags, model.embeddings, model.mapping, model.sif).select(F.col("key").alias("chunk_idx"), F.col("vector").alias("embedding"))
-        return cls(spark, chunks, bm25.build(bm25.token_table(chunks), k1, b), vectors, model, tokenizer)
+        return cls(spark, chunks, bm25.of_chunks(chunks, k1, b), vectors, model, tokenizer)
 
     @classmethod
     def from_path(cls, spark: SparkSession, root: str, provider=None, store=None, model: StaticModel | None = None, tokenizer: WordPiece | None = None) -> CodeIndex:
@@ -74,12 +74,18 @@ class CodeIndex:
             df.unpersist()
 
     def save(self, path: str) -> None:
-        """Persists the index. Postings and terms are sorted by term, chunks and vectors by chunk, so that the filters of a query skip most row groups."""
-        tables = (("postings", self.lexical.postings, "term"), ("terms", self.lexical.terms, "term"), ("chunks", self.chunks, "chunk_idx"), ("vectors", self.vectors, "chunk_idx"))
-        for name, df, key in tables:
+        """Persists the index. Postings and terms are sorted by term, chunks and vectors by chunk, so that the filters of a query skip most row groups.
+
+        Terms lie in files by their hash, which needs no sample, so the postings are made once; the statistics are those of the written postings.
+        """
+        self.lexical.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        postings = self.spark.read.parquet(f"{path}/postings")
+        bm25.frequencies(postings).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        for name, df in (("chunks", self.chunks), ("vectors", self.vectors)):
             if df is not None:
-                df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
-        self.lexical.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+                df.repartitionByRange("chunk_idx").sortWithinPartitions("chunk_idx").write.mode("overwrite").parquet(f"{path}/{name}")
+        corpus = self.lexical.corpus if self.lexical.counted is None else bm25.statistics(self.lexical.counted, postings)
+        corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, vectors: bool = False, k1: float = 1.5, b: float = 0.75) -> CodeIndex:
