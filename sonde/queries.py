@@ -719,9 +719,7 @@ def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("u5_path_overlap", f"WITH {BM25_TABLES}, q AS {s_terms(TEXT)}, scores AS ({s_score('q')}), a AS ({s_ranked('scores', 40)}), s2 AS ({s_score('q', 0.9, 0.4)}), b AS ({s_ranked('s2', 40)}), x AS (SELECT list(DISTINCT file_path) AS x FROM a JOIN corpus USING (chunk_idx)), y AS (SELECT list(DISTINCT file_path) AS y FROM b JOIN corpus USING (chunk_idx)) SELECT len(list_intersect(x, y)) / greatest(len(x), len(y))::DOUBLE AS overlap FROM x, y")
 def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, index = _lexical(spark, sf_dir)
-    other = bm25.Bm25(index.postings, index.terms, index.corpus, 0.9, 0.4)
-    a, b = (bm25.ranked(bm25.score(i, _terms(spark, TEXT), few=True), 40).join(chunks, "chunk_idx") for i in (index, other))
+    a, b = (i.chunks.join(F.broadcast(i.lexical_hits(TEXT, 40)), "chunk_idx") for i in (stored(spark, sf_dir), stored(spark, sf_dir, 0.9, 0.4)))
     return plans.overlap(a, b)
 
 
