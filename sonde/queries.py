@@ -131,6 +131,7 @@ def s_terms(text: str) -> str:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, bm25.Bm25]:
+    """Chunks and their statistics; ids that repeat are put together."""
     chunks = corpus(spark, sf_dir)
     repeated = not chunks.groupBy("chunk_idx").count().where("count > 1").isEmpty()
     return chunks, bm25.build(bm25.token_table(chunks), **how) if repeated else bm25.of_chunks(chunks, **how)
@@ -416,7 +417,7 @@ _topk("k2_bm25_filtered", 1.5, 0.75, "chunk_idx IN (SELECT chunk_idx FROM corpus
 @query("k1_bm25_batch", f"WITH {BM25_TABLES}, q AS (SELECT item_id AS query_id, unnest({s_tokens('text')}) AS term FROM benchmark), scores AS ({s_score('q')}) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_idx, score FROM ({s_ranked('scores', 10)})")
 def k1_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = bm25.query_terms(read(spark, sf_dir, "benchmark"), "item_id", "text")
-    return bm25.ranked(bm25.score(stored(spark, sf_dir).lexical, terms), 10)
+    return bm25.top_many(stored(spark, sf_dir).lexical, terms, 10)
 
 
 @query(
