@@ -13,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import in_batches
 from ..sources.syntax import Node, Provider, provider_for
 
 DESIRED, SMALLEST, DEEPEST, CAP, LOOKBACK = 750, 50, 500, 2000, 300
 VERSION = 2
+#: Bytes of chunks that a task hands over at once.
+AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -110,21 +113,36 @@ def chunk_source(source: str, root: Node, desired: int = DESIRED) -> list[tuple[
 FIELDS = "file_path string, language string, start_line int, end_line int, start_byte int, end_byte int, content string, node_type string, is_definition boolean"
 
 
+def chunk_batches(batches: Iterator[pa.RecordBatch], provider: Provider | None = None, desired: int = DESIRED) -> Iterator[pa.RecordBatch]:
+    """Chunks (FIELDS) of batches of (file_path, language, source), one file after the other, handed over by the megabyte."""
+    kinds = (pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.bool_())
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for b in batches:
+        rows, held = [], 0
+        for file in zip(*(b.column(c) for c in ("file_path", "language", "source")), strict=True):
+            path, lang, source = (x.as_py() for x in file)
+            if source is None:
+                continue
+            for c in chunk_source(source, (provider or provider_for(lang)).parse(source), desired):
+                rows.append((path, lang, *c))
+                held += c[3] - c[2]
+                if held >= AT_ONCE:
+                    yield table(rows)
+                    rows, held = [], 0
+        if rows:
+            yield table(rows)
+
+
 def chunk_files(files: DataFrame, provider: Provider | None = None, desired: int = DESIRED) -> DataFrame:
-    """Chunks of (file_path, language, source[, ...]); one file at a time, map-only. Null sources give none."""
+    """Chunks of (file_path, language, source[, ...]); one file at a time, map-only. Null sources give none.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for path, lang, source in zip(*(b.column(c).to_pylist() for c in ("file_path", "language", "source")), strict=True):
-                if source is not None:
-                    tree = (provider or provider_for(lang)).parse(source)
-                    rows += [(path, lang, *c) for c in chunk_source(source, tree, desired)]
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = (pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in FIELDS.split(", ")])
-
-    return files.select("file_path", "language", "source").mapInArrow(run, FIELDS)
+    Sources come in small batches too, so a task holds little more than its largest file.
+    """
+    return in_batches(files.select("file_path", "language", "source")).mapInArrow(lambda batches: chunk_batches(batches, provider, desired), FIELDS)
 
 
 def merge_adjacent(spans: Column, desired: int = DESIRED) -> Column:

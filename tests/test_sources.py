@@ -4,6 +4,7 @@ import struct
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,19 @@ def test_store_keeps_every_key_of_a_path(spark, tmp_path):
     assert found(1, 2, 3, 4) == [2]
 
 
+def test_chunks_leave_by_the_megabyte(spark):
+    sources = {f"f{i}": f"line {i}\n" * (n * 1000) for i, n in enumerate((60, 0, 400, 1, 390))} | {"g": None}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(sources)), pa.array([None] * 6, pa.string()), pa.array(list(sources.values()))], ["file_path", "language", "source"])
+    out = list(C.chunk_batches(iter([batch])))
+    assert len(out) > 5 and max(b.nbytes for b in out) < 3 << 20
+    whole = {}
+    for r in (r for b in out for r in b.to_pylist()):
+        whole[r["file_path"]] = whole.get(r["file_path"], "") + r["content"]
+    assert {k: v.strip() for k, v in whole.items()} == {k: v.strip() for k, v in sources.items() if v}
+    C.chunk_files(spark.createDataFrame([("a", None, "x")], "file_path string, language string, source string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
 def test_quarantine(spark, tmp_path):
     tree(tmp_path, PROJECT)
     rows = {r.file_path: r for r in W.read_sources(W.listing(spark, str(tmp_path))).collect()}
