@@ -95,6 +95,16 @@ def test_batch_of_queries(spark, monkeypatch, held, batched, literals):
     assert alike == [(r.chunk_idx, r.score, r["rank"]) for r in bm25.top(index, ["parse", "config", "the", "py"], 9).collect()]
 
 
+def test_a_whole_chunk_as_query_is_looked_up(spark):
+    words = [f"w{i}" for i in range(300)]
+    index = bm25.build(spark.createDataFrame([(i, words[i : i + 30]) for i in range(290)], "chunk_idx long, tokens array<string>"))
+    found = bm25.top(index, words, 7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "w150" not in plan and "Join Inner" in plan
+    want = bm25.ranked(bm25.score(index, spark.createDataFrame([(0, w) for w in words], "query_id int, term string")), 7)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select("chunk_idx", "score", "rank").collect()))
+
+
 def chunk_table(spark, rows):
     return spark.createDataFrame([(i, f, line, line + 5, c) for i, (f, line, c) in enumerate(rows)], "chunk_idx long, file_path string, start_line int, end_line int, content string")
 
